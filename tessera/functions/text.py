@@ -71,6 +71,50 @@ def repetitive(col) -> Column:
     ).otherwise(F.lit(False))
 
 
+FEATURES = ["_len", "_low", "_slen", "_plen", "_rep"]
+
+
+def with_text_features(df, col: str):
+    """Stage the inputs of the Q-1..Q-6 classifier as plain columns so each
+    regex runs once per row, however often the reason refers to it.  Word
+    splitting for the repetition check runs only where it can decide the
+    outcome (200 < length <= 2000); longer texts are already extreme."""
+    c = F.col(col)
+    stripped = py_strip(c)
+    n = C.REPETITION_PHRASE_WORDS
+    staged = df.select(
+        "*",
+        F.length(c).alias("_len"),
+        F.lower(c).alias("_low"),
+        stripped.alias("_stripped"),
+        F.when((F.length(c) > C.REPETITION_MIN_CHARS) & (F.length(c) <= C.MAX_UTTERANCE_CHARS), words(c))
+        .alias("_words"),
+    )
+    w = F.col("_words")
+    first = F.array_join(F.slice(w, 1, n), " ")
+    rest = F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(1))), " ")
+    return staged.select(
+        *[x for x in df.columns], "_len", "_low",
+        F.length("_stripped").alias("_slen"),
+        F.length(F.translate(F.col("_stripped"), C.PUNCT_REMOVED, "")).alias("_plen"),
+        F.coalesce((F.size(w) > C.REPETITION_MIN_WORDS) & rest.contains(first), F.lit(False)).alias("_rep"),
+    )
+
+
+def staged_skip_reason() -> Column:
+    """Q-1..Q-6 over the columns staged by :func:`with_text_features`."""
+    length, low = F.col("_len"), F.col("_low")
+    return (
+        F.when(length > C.MAX_UTTERANCE_CHARS, F.lit("extreme_length"))
+        .when(contains_any(low, C.CORRUPTION_MARKERS), F.lit("corrupted data"))
+        .when(F.col("_rep"), F.lit("repetitive corruption"))
+        .when((length < C.MEANINGFUL_MIN_LENGTH) & ~contains_any(low, C.EMOTIONAL_KEYWORDS),
+              F.lit("too short and no emotional content"))
+        .when(F.col("_slen") < C.NOISE_MIN_STRIPPED, F.lit("too short"))
+        .when(F.col("_plen") < C.PUNCT_MIN_REMAINING, F.lit("mostly punctuation"))
+    )
+
+
 def skip_reason(col) -> Column:
     """Q-1..Q-6 as one ordered classifier; null means the text is kept."""
     c = _c(col)

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
+from ..functions.plan import fence
 from ..sources import adapters as A
 from ..sources import mapping as M
 
 CORPUS_COLUMNS = [
     "utterance", "source", "origin_id", "original_tag", "utterance_length", "word_count", *C.TRAIT_COLUMNS,
 ]
-CLASSIFIED_COLUMNS = CORPUS_COLUMNS + ["reason"]
+CLASSIFIED_COLUMNS = CORPUS_COLUMNS + ["label", "reason"]
 
 
 def lookup(col: Column, table: dict) -> Column:
@@ -35,17 +36,36 @@ def lookup(col: Column, table: dict) -> Column:
 
 
 def _finish(df: DataFrame, source: str, utterance: Column, origin: Column, tag: Column,
-            traits: list[Column], reason: Column) -> DataFrame:
-    return df.select(
+            traits: list[Column], pre_reason, label: Column) -> DataFrame:
+    """Project a labelled source to the classified shape.
+
+    Stage 1 fixes the row's fields; stage 2 computes the text features once
+    (``with_text_features``); stage 3 derives the reason: the source's own
+    pre-checks (``pre_reason(short)`` gets the stripped-length test) and
+    then Q-1..Q-6."""
+    base = df.select(
         utterance.alias("utterance"),
         F.lit(source).alias("source"),
         origin.alias("origin_id"),
         tag.alias("original_tag"),
-        X.utterance_length(utterance).cast("long").alias("utterance_length"),
-        X.word_count(utterance).cast("long").alias("word_count"),
         *[t.cast("double").alias(c) for t, c in zip(traits, C.TRAIT_COLUMNS)],
-        reason.alias("reason"),
+        label.cast("string").alias("label"),
+        *[F.col(c) for c in _PRE_INPUTS if c in df.columns],
     )
+    staged = X.with_text_features(base, "utterance")
+    u = F.col("utterance")
+    short = u.isNull() | (F.col("_slen") < C.PRE_FILTER_MIN_STRIPPED)
+    reason = F.coalesce(pre_reason(short), F.when(u.isNull(), F.lit("short")), X.staged_skip_reason())
+    return fence(staged.select(
+        "utterance", "source", "origin_id", "original_tag",
+        F.col("_len").cast("long").alias("utterance_length"),
+        X.word_count(u).cast("long").alias("word_count"),
+        *C.TRAIT_COLUMNS, "label", reason.alias("reason"),
+    ))
+
+
+# Lookup columns the pre-checks read; carried through stage 1.
+_PRE_INPUTS = ["_skip", "_mapped", "_is_speaker", "_n_emotions", "_bad_label", "_empty_label"]
 
 
 def _meaningful(utterance: Column) -> Column:
@@ -70,22 +90,23 @@ def first_speakers(roles: DataFrame, emotions: DataFrame) -> DataFrame:
 def label_roles(roles: DataFrame, emotions: DataFrame) -> DataFrame:
     """L-2 with J-1 (mapping) and J-2 (roles): speakers get the emotion's
     traits, everyone else the listener constants; the skip flag applies to
-    the speaker only."""
+    the speaker only.  Funnel: unmapped -> short -> skip flag -> Q-1..Q-6."""
     dim = emotions.withColumnRenamed("emotion", "context")
-    rows = roles.join(dim, "context", "left").join(first_speakers(roles, emotions), "conv_id", "left")
-    u = F.col("utterance")
-    is_speaker = F.coalesce(F.col("speaker_idx") == F.col("emotional_speaker"), F.lit(False))
-    reason = (
-        F.when(F.col("skip").isNull(), F.lit("unmapped"))
-        .when(X.is_short_or_empty(u), F.lit("short"))
-        .when(is_speaker & F.col("skip"), F.lit("skip_flag"))
-        .otherwise(X.skip_reason(u))
-    )
+    rows = (roles.join(dim, "context", "left").join(first_speakers(roles, emotions), "conv_id", "left")
+            .withColumn("_is_speaker", F.coalesce(F.col("speaker_idx") == F.col("emotional_speaker"),
+                                                  F.lit(False)))
+            .withColumn("_mapped", F.col("skip").isNotNull())
+            .withColumn("_skip", F.coalesce(F.col("skip"), F.lit(False))))
+    is_speaker = F.col("_is_speaker")
     listener = M.listener_traits()
     traits = [F.when(is_speaker, F.col(c)).otherwise(listener[i]) for i, c in enumerate(C.TRAIT_COLUMNS)]
     origin = F.concat(F.col("conv_id"), F.lit("_turn_"), F.col("utterance_idx").cast("string"))
     tag = F.concat(F.col("context"), F.when(is_speaker, F.lit("_speaker")).otherwise(F.lit("_listener")))
-    return _finish(rows, "EmpatheticDialogues", u, origin, tag, traits, reason)
+
+    def pre(short):
+        return (F.when(~F.col("_mapped"), F.lit("unmapped")).when(short, F.lit("short"))
+                .when(F.col("_is_speaker") & F.col("_skip"), F.lit("skip_flag")))
+    return _finish(rows, "EmpatheticDialogues", F.col("utterance"), origin, tag, traits, pre, F.col("context"))
 
 
 # ------------------------------------------------------------- dialogue ---
@@ -95,54 +116,56 @@ def label_dialogue(rows: DataFrame, numeric: DataFrame) -> DataFrame:
     Dialogues whose emotion list is empty are dropped (``no_emotions``).
     The dialogue source has no length pre-filter."""
     eid = F.coalesce(F.col("emotion_id"), F.lit(0)).cast("long")
-    df = rows.withColumn("emotion_id", eid).join(numeric, "emotion_id", "left")
-    u = F.col("utterance")
-    reason = (
-        F.when(F.col("n_emotions") <= 0, F.lit("no_emotions"))
-        .when(F.col("emotion_name").isNull(), F.lit("unmapped"))
-        .when(F.col("skip"), F.lit("skip_flag"))
-        .otherwise(_meaningful(u))
-    )
+    df = (rows.withColumn("emotion_id", eid).join(numeric, "emotion_id", "left")
+          .withColumn("_n_emotions", F.col("n_emotions"))
+          .withColumn("_mapped", F.col("emotion_name").isNotNull())
+          .withColumn("_skip", F.coalesce(F.col("skip"), F.lit(False))))
     origin = F.concat(F.col("row_id").cast("string"), F.lit("_"), F.col("pos").cast("string"))
     traits = [F.col(c) for c in C.TRAIT_COLUMNS]
-    return _finish(df, "DailyDialog", u, origin, F.col("emotion_name"), traits, reason)
+    label = F.when(F.col("n_emotions") > 0, F.col("emotion_id").cast("string"))
+
+    def pre(short):
+        return (F.when(F.col("_n_emotions") <= 0, F.lit("no_emotions"))
+                .when(~F.col("_mapped"), F.lit("unmapped")).when(F.col("_skip"), F.lit("skip_flag")))
+    return _finish(df, "DailyDialog", F.col("utterance"), origin, F.col("emotion_name"), traits, pre, label)
 
 
 # --------------------------------------------------------- int labels ---
 
 def label_int(src: DataFrame, emotions: DataFrame) -> DataFrame:
-    """L-4 with P-8: label id -> name, love -> joy, then mapping lookup."""
+    """L-4 with P-8: label id -> name, love -> joy, then mapping lookup.
+    Funnel: short -> bad label -> unmapped -> skip flag -> Q-1..Q-6."""
     name = lookup(F.col("label"), C.INT_LABELS)
     recoded = F.coalesce(lookup(name, C.INT_LABEL_RECODE), name)
-    df = src.withColumn("emotion", recoded).join(emotions, "emotion", "left")
-    u = F.col("text")
-    reason = (
-        F.when(X.is_short_or_empty(u), F.lit("short"))
-        .when(name.isNull(), F.lit("bad_label"))
-        .when(F.col("skip").isNull(), F.lit("unmapped"))
-        .when(F.col("skip"), F.lit("skip_flag"))
-        .otherwise(X.skip_reason(u))
-    )
+    df = (src.withColumn("_bad_label", name.isNull()).withColumn("emotion", recoded)
+          .join(emotions, "emotion", "left")
+          .withColumn("_mapped", F.col("skip").isNotNull())
+          .withColumn("_skip", F.coalesce(F.col("skip"), F.lit(False))))
     origin = F.concat(F.lit("row_"), F.col("row_idx").cast("string"))
     traits = [F.coalesce(F.col(c), F.lit(0.0)) for c in C.TRAIT_COLUMNS]
-    return _finish(df, "EmotionLines", u, origin, F.col("emotion"), traits, reason)
+
+    def pre(short):
+        return (F.when(short, F.lit("short")).when(F.col("_bad_label"), F.lit("bad_label"))
+                .when(~F.col("_mapped"), F.lit("unmapped")).when(F.col("_skip"), F.lit("skip_flag")))
+    return _finish(df, "EmotionLines", F.col("text"), origin, F.col("emotion"), traits, pre, F.col("emotion"))
 
 
 # ------------------------------------------------------ string labels ---
 
 def label_string(src: DataFrame, emotions: DataFrame) -> DataFrame:
-    """L-5 with P-9: lower-cased label, mapping lookup."""
-    df = src.withColumn("emotion", F.lower(F.col("emotion"))).join(emotions, "emotion", "left")
-    u = F.col("text")
+    """L-5 with P-9: lower-cased label, mapping lookup.
+    Funnel: short (or empty label) -> unmapped -> skip flag -> Q-1..Q-6."""
+    df = (src.withColumn("emotion", F.lower(F.col("emotion"))).join(emotions, "emotion", "left")
+          .withColumn("_empty_label", F.col("emotion").isNull() | (F.col("emotion") == ""))
+          .withColumn("_mapped", F.col("skip").isNotNull())
+          .withColumn("_skip", F.coalesce(F.col("skip"), F.lit(False))))
     e = F.col("emotion")
-    reason = (
-        F.when(e.isNull() | (e == "") | X.is_short_or_empty(u), F.lit("short"))
-        .when(F.col("skip").isNull(), F.lit("unmapped"))
-        .when(F.col("skip"), F.lit("skip_flag"))
-        .otherwise(X.skip_reason(u))
-    )
     traits = [F.coalesce(F.col(c), F.lit(0.0)) for c in C.TRAIT_COLUMNS]
-    return _finish(df, "MELD", u, F.col("row_idx").cast("string"), e, traits, reason)
+
+    def pre(short):
+        return (F.when(F.col("_empty_label") | short, F.lit("short"))
+                .when(~F.col("_mapped"), F.lit("unmapped")).when(F.col("_skip"), F.lit("skip_flag")))
+    return _finish(df, "MELD", F.col("text"), F.col("row_idx").cast("string"), e, traits, pre, e)
 
 
 # --------------------------------------------------------- activations ---
@@ -173,17 +196,22 @@ def activation_traits() -> list[Column]:
 
 def label_activations(src: DataFrame) -> DataFrame:
     """L-6 + L-7: activation-weighted traits; an all-zero row whose dominant
-    emotion is ``neutral`` takes the neutral mapping."""
-    raw = activation_traits()
-    all_zero = reduce(lambda a, b: a & b, [t == 0 for t in raw])
+    emotion is ``neutral`` takes the neutral mapping.  Raw traits are staged
+    as columns first so the all-zero test does not repeat them."""
+    raw_cols = [f"_raw_{c}" for c in C.TRAIT_COLUMNS]
+    staged = src.select("*", *[t.alias(n) for t, n in zip(activation_traits(), raw_cols)])
+    all_zero_raw = reduce(lambda a, b: a & b, [F.col(n) == 0 for n in raw_cols])
     neutral_skip, neutral_scores = C.EMOTIONS["neutral"]
-    fallback = all_zero & (F.col("major_emotion") == "neutral") & F.lit(not neutral_skip)
+    fallback = all_zero_raw & (F.col("major_emotion") == "neutral") & F.lit(not neutral_skip)
+    staged = staged.withColumn("_fallback", fallback)
     neutral = C.sparse_to_dense(neutral_scores)
-    traits = [F.when(fallback, F.lit(neutral[i])).otherwise(t) for i, t in enumerate(raw)]
-    u = F.col("transcription")
-    reason = F.when(X.is_short_or_empty(u), F.lit("short")).otherwise(X.skip_reason(u))
+    traits = [F.when(F.col("_fallback"), F.lit(neutral[i])).otherwise(F.col(n)) for i, n in enumerate(raw_cols)]
     tag = F.coalesce(F.col("major_emotion"), F.lit("unknown"))
-    return _finish(src, "IEMOCAP", u, F.col("file"), tag, traits, reason)
+
+    def pre(short):
+        return F.when(short, F.lit("short"))
+    return _finish(staged, "IEMOCAP", F.col("transcription"), F.col("file"), tag, traits, pre,
+                   F.col("major_emotion"))
 
 
 # --------------------------------------------------------------- union ---

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import text as X
 from ..operators import label as L
+from ..operators import seeds as SD
+from ..operators import shards as B
 from ..operators import report as R
 from ..operators import sample as S
 from ..sources import adapters as A
@@ -110,3 +113,109 @@ def top_tags(spark, sf_dir):
 @register("quality_issues")
 def quality_issues(spark, sf_dir):
     return R.quality_issues(corpus(spark, sf_dir))
+
+
+@register("label_frequency")
+def label_frequency(spark, sf_dir):
+    """A-1: label frequency per source, before any filter."""
+    c = L.classified(spark, sf_dir).filter(F.col("label").isNotNull())
+    return c.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("unmapped_labels")
+def unmapped_labels(spark, sf_dir):
+    """J-3: distinct labels missing from the mapping, with their counts."""
+    c = L.classified(spark, sf_dir).filter(F.col("reason") == "unmapped")
+    return c.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("utterance_quality")
+def utterance_quality(spark, sf_dir):
+    """Q-1..Q-6 over every document, first failing reason (or meaningful)."""
+    docs = A.table(spark, sf_dir, "documents")
+    t = F.col("text")
+    return docs.select(
+        "doc_id",
+        X.utterance_length(t).cast("long").alias("utterance_length"),
+        X.word_count(t).cast("long").alias("word_count"),
+        F.coalesce(L._meaningful(t), F.lit("meaningful")).alias("reason"),
+    )
+
+
+@register("origin_counts")
+def origin_counts(spark, sf_dir):
+    """A-3: distinct origin ids per source among processed rows."""
+    return L.corpus_raw(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("processed"), F.count_distinct("origin_id").alias("unique_origins"))
+
+
+# --------------------------------------------------------------- seeds ---
+
+def _seed_classified(spark, sf_dir):
+    conv = A.table(spark, sf_dir, "conversations")
+    return SD.classify_seeds(A.seeds_from_conversations(conv))
+
+
+def seed_pool(spark, sf_dir):
+    """The seed pool: selected seeds inside the loader's word window (Q-14)."""
+    seeds = SD.first_seeds(_seed_classified(spark, sf_dir))
+    n = F.col("word_count")
+    return seeds.filter((n > C.LOADER_MIN_WORDS_EXCL) & (n < C.LOADER_MAX_WORDS_EXCL)).select(
+        F.col("utterance").alias("seed"))
+
+
+@register("seed_quality")
+def seed_quality(spark, sf_dir):
+    return _seed_classified(spark, sf_dir)
+
+
+@register("seed_skip_reasons")
+def seed_skip_reasons(spark, sf_dir):
+    return SD.skip_reasons(_seed_classified(spark, sf_dir))
+
+
+@register("seed_emotions")
+def seed_emotions(spark, sf_dir):
+    return SD.emotion_distribution(_seed_classified(spark, sf_dir))
+
+
+@register("seed_top_n")
+def seed_top_n(spark, sf_dir):
+    return SD.first_seeds(_seed_classified(spark, sf_dir))
+
+
+# ------------------------------------------------------ shards, prompts ---
+
+def _bucket_rows(spark, sf_dir):
+    return B.bucket_rows(corpus(spark, sf_dir))
+
+
+@register("bucket_rows")
+def bucket_rows(spark, sf_dir):
+    return _bucket_rows(spark, sf_dir).select("bucket", "source", "origin_id", *C.TRAIT_COLUMNS)
+
+
+@register("bucket_sizes")
+def bucket_sizes(spark, sf_dir):
+    return B.bucket_sizes(_bucket_rows(spark, sf_dir))
+
+
+@register("prompt_rows")
+def prompt_rows(spark, sf_dir):
+    return B.prompt_rows(corpus(spark, sf_dir)).select("source", "origin_id", "prompt", "completion")
+
+
+@register("converted_counts")
+def converted_counts(spark, sf_dir):
+    return B.converted_counts(B.prompt_rows(_bucket_rows(spark, sf_dir)))
+
+
+@register("paraphrase_requests")
+def paraphrase_requests(spark, sf_dir):
+    needs = B.fill_needs(spark, _bucket_rows(spark, sf_dir))
+    return B.paraphrase_requests(needs, seed_pool(spark, sf_dir))
+
+
+@register("bucket_needs")
+def bucket_needs(spark, sf_dir):
+    return B.fill_needs(spark, _bucket_rows(spark, sf_dir)).select("bucket", "existing", "need")

@@ -15,7 +15,7 @@ def _w(ctes: str, body: str) -> str:
 
 
 def _cols_of_classified() -> str:
-    return B.CORPUS_COLS + ", reason"
+    return B.CORPUS_COLS + ", label, reason"
 
 
 for _key, _cte in [("label_roles", "src_roles"), ("label_dialogue_arrays", "src_dialogue"),
@@ -79,3 +79,51 @@ SELECT source, count(*) AS total,
        count(*) FILTER (WHERE utterance_length > {C.LONG_UTTERANCE_CHARS}) AS long_utterances,
        count(*) FILTER (WHERE {_zero}) AS all_zero_traits
 FROM corpus GROUP BY source""")
+
+SQL["label_frequency"] = _w(BASE, """
+SELECT source, label, count(*) AS n FROM classified WHERE label IS NOT NULL GROUP BY 1, 2""")
+
+SQL["unmapped_labels"] = _w(BASE, """
+SELECT source, label, count(*) AS n FROM classified WHERE reason = 'unmapped' GROUP BY 1, 2""")
+
+SQL["utterance_quality"] = f"""
+SELECT doc_id, CAST(length(text) AS BIGINT) AS utterance_length, {B.word_count('text')} AS word_count,
+       coalesce({B.meaningful('text')}, 'meaningful') AS reason
+FROM documents"""
+
+SQL["origin_counts"] = _w(BASE, """
+SELECT source, count(*) AS processed, count(DISTINCT origin_id) AS unique_origins FROM corpus_raw GROUP BY 1""")
+
+SEEDS = B.seed_ctes()
+SQL["seed_quality"] = _w(SEEDS, """
+SELECT conv_id, turn, emotion, cleaned, target_emotion, seed_reason, reason FROM seed_funnel""")
+SQL["seed_skip_reasons"] = _w(SEEDS, "SELECT reason, count(*) AS n FROM seed_funnel WHERE target_emotion GROUP BY 1")
+SQL["seed_emotions"] = _w(SEEDS, "SELECT emotion, count(*) AS n FROM seed_funnel GROUP BY 1")
+SQL["seed_top_n"] = _w(SEEDS, "SELECT utterance, source, emotion, origin_id, word_count FROM seed_top")
+
+BUCKETS = SAMPLED + B.bucket_ctes()
+SQL["bucket_rows"] = _w(BUCKETS, f"SELECT bucket, source, origin_id, {B.TRAIT_COLS} FROM bucket_rows")
+SQL["bucket_sizes"] = _w(BUCKETS, f"""
+SELECT bucket, count(*) AS n, count(*) >= {C.MIN_PER_BUCKET} AS kept FROM bucket_rows GROUP BY bucket""")
+SQL["prompt_rows"] = _w(SAMPLED, f"""
+SELECT source, origin_id, {B.prompt_sql()} AS prompt, coalesce(utterance, '') AS completion FROM corpus""")
+SQL["converted_counts"] = _w(BUCKETS, "SELECT bucket, count(*) AS n FROM bucket_rows GROUP BY ROLLUP (bucket)")
+SQL["bucket_needs"] = _w(BUCKETS, "SELECT bucket, existing, need FROM bucket_needs")
+
+_h = B.hash32
+SQL["paraphrase_requests"] = _w(BUCKETS + "," + SEEDS, f""",
+numbered AS (SELECT seed, row_number() OVER (ORDER BY {_h('pool', 'seed')}, seed) - 1 AS seed_no FROM seed_pool),
+pool_size AS (SELECT count(*) AS pool_size FROM numbered),
+req AS (
+  SELECT n.bucket, n.description, n.templates, n.need, CAST(unnest(range(0, n.need * {C.OVERSAMPLE_FACTOR})) AS BIGINT) AS k
+  FROM bucket_needs n WHERE n.need > 0),
+picked AS (
+  SELECT r.*, p.pool_size,
+         CASE WHEN p.pool_size >= r.need * {C.OVERSAMPLE_FACTOR}
+              THEN ({_h('offset', 'r.bucket')} % p.pool_size + r.k) % p.pool_size
+              ELSE {_h('pick', 'r.bucket', 'CAST(r.k AS VARCHAR)')} % p.pool_size END AS seed_no
+  FROM req r, pool_size p WHERE p.pool_size > 0)
+SELECT x.bucket, x.k AS request_no, s.seed,
+       x.templates[{_h('tmpl', 'x.bucket', 'CAST(x.k AS VARCHAR)')} % 4 + 1] || {B.lit(C.STYLE_JOIN)} || x.description
+         AS system_prompt
+FROM picked x JOIN numbered s ON x.seed_no = s.seed_no""")

@@ -106,12 +106,12 @@ def numeric_values() -> str:
     return f"(VALUES {', '.join(rows)}) AS t(emotion_id, emotion_name, skip, {TRAIT_COLS})"
 
 
-def finish(source: str, u: str, origin: str, tag: str, traits: list[str], reason: str) -> str:
+def finish(source: str, u: str, origin: str, tag: str, traits: list[str], reason: str, label: str) -> str:
     tcols = ", ".join(f"CAST({t} AS DOUBLE) AS {c}" for t, c in zip(traits, C.TRAIT_COLUMNS))
     return (
         f"{u} AS utterance, {lit(source)} AS source, {origin} AS origin_id, {tag} AS original_tag, "
         f"CAST(length({u}) AS BIGINT) AS utterance_length, {word_count(u)} AS word_count, "
-        f"{tcols}, {reason} AS reason"
+        f"{tcols}, CAST({label} AS VARCHAR) AS label, {reason} AS reason"
     )
 
 
@@ -142,7 +142,7 @@ first_speakers AS (
   SELECT conv_id, arg_min(speaker_idx, utterance_idx) AS emotional_speaker
   FROM roles_src WHERE context IN (SELECT emotion FROM emotion_dim) GROUP BY conv_id),
 src_roles AS (
-  SELECT {finish('EmpatheticDialogues', 'r.utterance', origin, tag, traits, reason)}
+  SELECT {finish('EmpatheticDialogues', 'r.utterance', origin, tag, traits, reason, 'r.context')}
   FROM roles_src r LEFT JOIN emotion_dim e ON r.context = e.emotion
   LEFT JOIN first_speakers s ON r.conv_id = s.conv_id)"""
 
@@ -164,7 +164,8 @@ dlg_rows AS (
               THEN (c.conv_id + c.turn) % 8 END AS emotion_id
   FROM conversations c JOIN dlg_sizes s ON c.conv_id = s.conv_id),
 src_dialogue AS (
-  SELECT {finish('DailyDialog', 'x.utterance', origin, 'n.emotion_name', traits, reason)}
+  SELECT {finish('DailyDialog', 'x.utterance', origin, 'n.emotion_name', traits, reason,
+                 'CASE WHEN x.n_emotions > 0 THEN coalesce(x.emotion_id, 0) END')}
   FROM dlg_rows x LEFT JOIN numeric_dim n ON CAST(coalesce(x.emotion_id, 0) AS BIGINT) = n.emotion_id)"""
 
 
@@ -183,7 +184,8 @@ int_src0 AS (SELECT doc_id % 7 AS label, text, doc_id AS row_idx FROM documents)
 int_src1 AS (SELECT x.*, {name} AS name FROM int_src0 x),
 int_src AS (SELECT x.*, {recoded} AS emotion FROM int_src1 x),
 src_int AS (
-  SELECT {finish('EmotionLines', 'x.text', "'row_' || CAST(x.row_idx AS VARCHAR)", 'x.emotion', traits, reason)}
+  SELECT {finish('EmotionLines', 'x.text', "'row_' || CAST(x.row_idx AS VARCHAR)", 'x.emotion', traits, reason,
+                 'x.emotion')}
   FROM int_src x LEFT JOIN emotion_dim e ON x.emotion = e.emotion)"""
 
 
@@ -200,7 +202,7 @@ str_src AS (
   SELECT lower(CASE WHEN doc_id % 2 = 0 THEN upper({name}) ELSE {name} END) AS emotion, text, doc_id AS row_idx
   FROM documents),
 src_string AS (
-  SELECT {finish('MELD', 'x.text', 'CAST(x.row_idx AS VARCHAR)', 'x.emotion', traits, reason)}
+  SELECT {finish('MELD', 'x.text', 'CAST(x.row_idx AS VARCHAR)', 'x.emotion', traits, reason, 'x.emotion')}
   FROM str_src x LEFT JOIN emotion_dim e ON x.emotion = e.emotion)"""
 
 
@@ -245,7 +247,8 @@ act_src AS (
   FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
 act_raw AS (SELECT x.*, {raw_cols} FROM act_src x),
 src_act AS (
-  SELECT {finish('IEMOCAP', 'x.transcription', 'x.file', "coalesce(x.major_emotion, 'unknown')", traits, reason)}
+  SELECT {finish('IEMOCAP', 'x.transcription', 'x.file', "coalesce(x.major_emotion, 'unknown')", traits, reason,
+                 'x.major_emotion')}
   FROM act_raw x)"""
 
 
@@ -282,3 +285,104 @@ corpus AS (
   SELECT {CORPUS_COLS} FROM corpus_raw
   WHERE source IN ({srcs})
     AND {h} % 10000 < (CASE {' '.join(cases)} ELSE 10000 END))"""
+
+
+def hash32(salt: str, *exprs: str) -> str:
+    """Same as the Spark ``hash32``: md5(salt|e1|e2...) first 8 hex digits."""
+    key = " || '|' || ".join([lit(salt)] + list(exprs))
+    return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+
+
+# ---------------------------------------------------------------- seeds ---
+
+def clean_seed(x: str) -> str:
+    collapsed = f"regexp_replace({strip(x)}, '{WS}+', ' ', 'g')"
+    return (
+        f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL "
+        f"WHEN {contains_any(f'lower({collapsed})', C.SEED_ARTIFACTS)} THEN NULL "
+        f"WHEN length({strip(collapsed)}) < {C.SEED_MIN_CHARS} THEN NULL "
+        f"WHEN length(regexp_replace({collapsed}, '{NON_WORD_NON_SPACE}', '', 'g')) < {C.SEED_MIN_WORD_CHARS} "
+        f"THEN NULL ELSE {collapsed} END"
+    )
+
+
+def seed_reason(c: str) -> str:
+    n = word_count(c)
+    low = f"lower({strip(c)})"
+    pats = " OR ".join(f"regexp_matches({low}, {lit(p.replace(chr(92) + 's', WS))})"
+                       for p in C.SIMPLE_SEED_PATTERNS)
+    conj = ", ".join(lit(w) for w in C.CONJUNCTIONS)
+    complexity = (
+        f"(length({c}) - length(translate({c}, {lit(C.COMPLEXITY_PUNCT)}, '')) "
+        f"+ len(list_filter({words(c)}, lambda w: lower(w) IN ({conj}))) "
+        f"+ CASE WHEN {contains_any(low, C.DESCRIPTIVE_WORDS)} THEN 1 ELSE 0 END)"
+    )
+    return (
+        f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'empty' "
+        f"WHEN {n} < {C.SEED_MIN_WORDS} THEN 'too_short' WHEN {n} > {C.SEED_MAX_WORDS} THEN 'too_long' "
+        f"WHEN {pats} THEN 'too_simple' "
+        f"WHEN {contains_any(low, C.QUESTION_WORDS)} AND {n} < {C.QUESTION_MAX_WORDS} THEN 'simple_question' "
+        f"WHEN {complexity} = 0 AND {n} < {C.BASIC_MAX_WORDS} THEN 'too_basic' "
+        "ELSE 'good_seed' END"
+    )
+
+
+def seed_ctes() -> str:
+    targets = ", ".join(lit(e) for e in C.NEUTRAL_EMOTIONS + C.LOW_INTENSITY_EMOTIONS)
+    return f"""
+seed_src AS (SELECT lower({alphabetical(f'conv_id % {SLOTS}')}) AS emotion, text, conv_id, turn FROM conversations),
+seed_clean AS (SELECT conv_id, turn, emotion, {clean_seed('text')} AS cleaned FROM seed_src),
+seed_classified AS (
+  SELECT conv_id, turn, emotion, cleaned, emotion IN ({targets}) AS target_emotion,
+         CASE WHEN cleaned IS NULL THEN 'cleaning_failed' ELSE {seed_reason('cleaned')} END AS seed_reason
+  FROM seed_clean),
+seed_funnel AS (
+  SELECT *, CASE WHEN NOT target_emotion THEN 'not_target_emotion' ELSE seed_reason END AS reason
+  FROM seed_classified),
+seed_top AS (
+  SELECT cleaned AS utterance, 'MELD' AS source, emotion, CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR)
+         AS origin_id, {word_count('cleaned')} AS word_count, conv_id, turn
+  FROM seed_funnel WHERE reason = 'good_seed' ORDER BY conv_id, turn LIMIT {C.SEED_MAX_SAMPLES}),
+seed_pool AS (
+  SELECT utterance AS seed FROM seed_top
+  WHERE word_count > {C.LOADER_MIN_WORDS_EXCL} AND word_count < {C.LOADER_MAX_WORDS_EXCL})"""
+
+
+# -------------------------------------------------------------- buckets ---
+
+def bucket_list() -> str:
+    parts = [f"CASE WHEN trait_{t} >= {d(C.POLE_HIGH)} THEN '{t}_plus' "
+             f"WHEN trait_{t} <= {d(C.POLE_LOW)} THEN '{t}_minus' END" for t in C.TRAITS]
+    return f"list_filter(list_value({', '.join(parts)}), lambda b: b IS NOT NULL)"
+
+
+def prompt_sql() -> str:
+    parts = []
+    for t in C.TRAITS:
+        pos, neg = C.TRAIT_DESCRIPTIONS[t]
+        parts.append(f"CASE WHEN trait_{t} > {d(C.DESCRIPTION_HIGH)} THEN {lit(pos)} "
+                     f"WHEN trait_{t} < {d(C.DESCRIPTION_LOW)} THEN {lit(neg)} END")
+    descs = f"list_filter(list_value({', '.join(parts)}), lambda x: x IS NOT NULL)"
+    return (f"CASE WHEN len({descs}) = 0 THEN {lit(C.PROMPT_NEUTRAL)} "
+            f"ELSE {lit(C.PROMPT_PREFIX)} || array_to_string({descs}, ', ') || {lit(C.PROMPT_SUFFIX)} END")
+
+
+def bucket_values() -> str:
+    rows = []
+    for b in C.BUCKETS:
+        desc, templates = C.BUCKET_STYLES[b]
+        tl = "list_value(" + ", ".join(lit(x) for x in templates) + ")"
+        rows.append(f"({lit(b)}, {lit(desc)}, {tl})")
+    return f"(VALUES {', '.join(rows)}) AS t(bucket, description, templates)"
+
+
+def bucket_ctes(target: int = C.TARGET_PER_BUCKET) -> str:
+    return f""",
+bucket_rows AS (SELECT * EXCLUDE (buckets), unnest(buckets) AS bucket
+                FROM (SELECT *, {bucket_list()} AS buckets FROM corpus) WHERE len(buckets) > 0),
+bucket_dim AS (SELECT * FROM {bucket_values()}),
+bucket_counts AS (SELECT bucket, count(*) AS existing FROM bucket_rows GROUP BY bucket),
+bucket_needs AS (
+  SELECT d.bucket, d.description, d.templates, CAST(coalesce(c.existing, 0) AS BIGINT) AS existing,
+         CAST(greatest({target} - coalesce(c.existing, 0), 0) AS BIGINT) AS need
+  FROM bucket_dim d LEFT JOIN bucket_counts c ON d.bucket = c.bucket)"""
