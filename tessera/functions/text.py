@@ -184,12 +184,19 @@ def _java_patterns():
 
 # ------------------------------------------------------------- shingles ---
 
-def shingles(col, n: int = C.SHINGLE_WORDS) -> Column:
-    """D-1: distinct n-word shingles of the lowercased whitespace tokens."""
-    toks = words(F.lower(_c(col)))
+def with_shingles(df, col: str, out: str = "shingles", n: int = C.SHINGLE_WORDS):
+    """D-1: distinct n-word shingles of the lowercased whitespace tokens.
+
+    Tokens are staged as a column (behind a fence) first: inside a lambda an
+    un-staged token expression would be re-evaluated for every shingle."""
+    from .plan import fence
+    staged = fence(df.withColumn("_toks", words(F.lower(F.col(col)))))
+    toks = F.col("_toks")
     count = F.size(toks) - (n - 1)
     grams = F.transform(
         F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
         lambda i: F.array_join(F.slice(toks, i + 1, n), " "),
     )
-    return F.when(count > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return staged.withColumn(
+        out, F.when(count > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    ).drop("_toks")

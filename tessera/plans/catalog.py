@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
+from ..operators import dedup as D
 from ..operators import label as L
 from ..operators import seeds as SD
 from ..operators import shards as B
@@ -219,3 +220,47 @@ def paraphrase_requests(spark, sf_dir):
 @register("bucket_needs")
 def bucket_needs(spark, sf_dir):
     return B.fill_needs(spark, _bucket_rows(spark, sf_dir)).select("bucket", "existing", "need")
+
+
+# ------------------------------------------------------ near-duplicates ---
+
+def _doc_members(spark, sf_dir):
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.document_members(docs)
+
+
+@register("minhash_bands")
+def minhash_bands(spark, sf_dir):
+    return _doc_members(spark, sf_dir).select(F.col("node").alias("doc_id"), "band", "band_key")
+
+
+@register("near_dup_first")
+def near_dup_first(spark, sf_dir):
+    return D.earliest_partner(_doc_members(spark, sf_dir)).select(
+        F.col("node").alias("doc_id"), "earliest_partner")
+
+
+@register("greedy_dedup")
+def greedy_dedup(spark, sf_dir):
+    verdict = D.greedy_accept(_doc_members(spark, sf_dir))
+    return verdict.select(F.col("node").alias("doc_id"), "accepted")
+
+
+@register("fill_to_target")
+def fill_to_target(spark, sf_dir):
+    """D-5 + N-2: documents stand in for paraphrase responses (bucket by
+    doc_id), deduplicated per bucket against the existing shard rows and
+    appended up to each bucket's need."""
+    rows = _bucket_rows(spark, sf_dir)
+    needs = B.fill_needs(spark, rows).select("bucket", "need")
+    buckets = F.array(*[F.lit(b) for b in C.BUCKETS])
+    docs = A.table(spark, sf_dir, "documents")
+    candidates = docs.select(
+        F.col("doc_id").alias("node"),
+        F.element_at(buckets, (F.pmod(F.col("doc_id"), F.lit(len(C.BUCKETS))) + 1).cast("int")).alias("bucket"),
+        F.col("text"),
+        F.lit(None).cast("string").alias("seed"),
+    )
+    existing = rows.select("bucket", F.col("utterance").alias("text"))
+    accepted = D.fill_to_target(candidates, existing, needs)
+    return B.synthetic_rows(accepted)

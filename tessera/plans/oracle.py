@@ -127,3 +127,10 @@ SELECT x.bucket, x.k AS request_no, s.seed,
        x.templates[{_h('tmpl', 'x.bucket', 'CAST(x.k AS VARCHAR)')} % 4 + 1] || {B.lit(C.STYLE_JOIN)} || x.description
          AS system_prompt
 FROM picked x JOIN numbered s ON x.seed_no = s.seed_no""")
+
+MINHASH = B.minhash_ctes()
+SQL["minhash_bands"] = _w(MINHASH, "SELECT node AS doc_id, band, band_key FROM bands")
+SQL["near_dup_first"] = _w(MINHASH, """,
+band_min AS (SELECT band_key, min(node) AS band_min FROM bands GROUP BY band_key)
+SELECT b.node AS doc_id, coalesce(min(CASE WHEN m.band_min < b.node THEN m.band_min END), -1) AS earliest_partner
+FROM bands b JOIN band_min m ON b.band_key = m.band_key GROUP BY b.node""")

@@ -386,3 +386,27 @@ bucket_needs AS (
   SELECT d.bucket, d.description, d.templates, CAST(coalesce(c.existing, 0) AS BIGINT) AS existing,
          CAST(greatest({target} - coalesce(c.existing, 0), 0) AS BIGINT) AS need
   FROM bucket_dim d LEFT JOIN bucket_counts c ON d.bucket = c.bucket)"""
+
+
+# --------------------------------------------------------------- dedup ---
+
+def minhash_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
+    from ..operators.dedup import EMPTY_SIGNATURE, PRIME, lsh_params, permutations
+    perms = permutations()
+    bands, rows = lsh_params()
+    mins = ", ".join(f"coalesce(min(({a} * h.hv + {b}) % {PRIME}), {EMPTY_SIGNATURE}) AS m{i}"
+                     for i, (a, b) in enumerate(perms))
+    band_sel = " UNION ALL ".join(
+        f"SELECT node, {j} AS band, md5(concat_ws(',', '{j}', "
+        + ", ".join(f"CAST(m{j * rows + k} AS VARCHAR)" for k in range(rows)) + ")) AS band_key FROM sigs"
+        for j in range(bands))
+    return f"""
+toks AS (SELECT {id_col} AS node, regexp_extract_all(lower({text_col}), '{NON_WS}+') AS t FROM {table}),
+shingled AS (
+  SELECT node, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(0, len(t) - 2),
+         lambda i: array_to_string(list_slice(t, i + 1, i + 3), ' '))) ELSE [] END AS s FROM toks),
+hashes AS (SELECT node, CAST(('0x' || substr(md5(shingle), 1, 8)) AS BIGINT) AS hv
+           FROM (SELECT node, unnest(s) AS shingle FROM shingled)),
+sigs AS (SELECT d.node, {mins} FROM (SELECT {id_col} AS node FROM {table}) d LEFT JOIN hashes h ON d.node = h.node
+         GROUP BY d.node),
+bands AS ({band_sel})"""
