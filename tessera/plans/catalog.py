@@ -17,7 +17,9 @@ from ..operators import dedup as D
 from ..operators import label as L
 from ..operators import seeds as SD
 from ..operators import shards as B
+from ..operators import registry as RG
 from ..operators import report as R
+from ..operators import vectors as V
 from ..operators import sample as S
 from ..sources import adapters as A
 from ..sources import mapping as M
@@ -264,3 +266,127 @@ def fill_to_target(spark, sf_dir):
     existing = rows.select("bucket", F.col("utterance").alias("text"))
     accepted = D.fill_to_target(candidates, existing, needs)
     return B.synthetic_rows(accepted)
+
+
+# ------------------------------------------------------------ registry ---
+
+PLAN_NOW = 1.76e9
+REFERENCE_ADAPTER = "adapter_0"
+
+
+def _fingerprints(corpus_df):
+    return RG.shard_fingerprints(B.prompt_rows(B.bucket_rows(corpus_df)))
+
+
+def _registry(spark, sf_dir):
+    """The previous run's registry: fingerprints of the unsampled corpus."""
+    return RG.registry_from_run(_fingerprints(L.corpus_raw(spark, sf_dir)))
+
+
+@register("shard_fingerprints")
+def shard_fingerprints(spark, sf_dir):
+    return _fingerprints(corpus(spark, sf_dir))
+
+
+@register("run_plan")
+def run_plan(spark, sf_dir):
+    return RG.run_plan(_fingerprints(corpus(spark, sf_dir)), _registry(spark, sf_dir))
+
+
+@register("registry_upsert")
+def registry_upsert(spark, sf_dir):
+    registry = _registry(spark, sf_dir)
+    plan = RG.run_plan(_fingerprints(corpus(spark, sf_dir)), registry)
+    return RG.registry_upsert(registry, plan, PLAN_NOW)
+
+
+@register("job_terminal_status")
+def job_terminal_status(spark, sf_dir):
+    return RG.terminal_status(RG.job_status_log(A.table(spark, sf_dir, "events")))
+
+
+@register("coverage_audit")
+def coverage_audit(spark, sf_dir):
+    available = B.bucket_sizes(_bucket_rows(spark, sf_dir)).select("bucket", F.col("n").alias("n_rows"))
+    return RG.coverage_audit(RG.requested_buckets(spark, all_poles=True), available)
+
+
+# ------------------------------------------------------------- vectors ---
+
+def _adapter_names(spark, sf_dir):
+    return _bucket_rows(spark, sf_dir).select(F.col("bucket").alias("name")).distinct()
+
+
+@register("trait_vectors")
+def trait_vectors(spark, sf_dir):
+    return V.vector_table(_adapter_names(spark, sf_dir))
+
+
+@register("trait_vectors_lenient")
+def trait_vectors_lenient(spark, sf_dir):
+    return V.lenient_table(_adapter_names(spark, sf_dir))
+
+
+@register("trait_vector_audit")
+def trait_vector_audit(spark, sf_dir):
+    return V.vector_audit(V.lenient_table(_adapter_names(spark, sf_dir)))
+
+
+def _emb(spark, sf_dir):
+    return A.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+@register("vector_stats")
+def vector_stats(spark, sf_dir):
+    return V.vector_stats(_emb(spark, sf_dir))
+
+
+@register("vector_validity")
+def vector_validity(spark, sf_dir):
+    return V.validity(V.vector_stats(_emb(spark, sf_dir)))
+
+
+@register("vector_dup_signature")
+def vector_dup_signature(spark, sf_dir):
+    return V.duplicate_signatures(_emb(spark, sf_dir))
+
+
+@register("cosine_triplets")
+def cosine_triplets(spark, sf_dir):
+    return V.triplets(_emb(spark, sf_dir))
+
+
+@register("vector_global")
+def vector_global(spark, sf_dir):
+    return V.global_distribution(_emb(spark, sf_dir))
+
+
+@register("vector_fit")
+def vector_fit(spark, sf_dir):
+    return V.fitted(_emb(spark, sf_dir))
+
+
+def _tensors(spark, sf_dir):
+    return V.adapter_tensors(_emb(spark, sf_dir))
+
+
+@register("adapter_flatten")
+def adapter_flatten(spark, sf_dir):
+    return V.flatten_adapters(_tensors(spark, sf_dir), REFERENCE_ADAPTER)[1]
+
+
+@register("adapter_flat_values")
+def adapter_flat_values(spark, sf_dir):
+    return V.flatten_adapters(_tensors(spark, sf_dir), REFERENCE_ADAPTER)[0]
+
+
+@register("vector_norms")
+def vector_norms(spark, sf_dir):
+    return V.weight_norms(_tensors(spark, sf_dir), REFERENCE_ADAPTER)
+
+
+@register("vector_blend")
+def vector_blend(spark, sf_dir):
+    t = _tensors(spark, sf_dir)
+    weights = t.select("adapter").distinct().withColumn("weight", F.lit(C.ADAPTER_BLEND_WEIGHT))
+    return V.blend(t, weights)

@@ -134,3 +134,121 @@ SQL["near_dup_first"] = _w(MINHASH, """,
 band_min AS (SELECT band_key, min(node) AS band_min FROM bands GROUP BY band_key)
 SELECT b.node AS doc_id, coalesce(min(CASE WHEN m.band_min < b.node THEN m.band_min END), -1) AS earliest_partner
 FROM bands b JOIN band_min m ON b.band_key = m.band_key GROUP BY b.node""")
+
+# ------------------------------------------------------------ registry ---
+FP_CURRENT = SAMPLED + B.fingerprint_cte("current_fp", "corpus")
+SQL["shard_fingerprints"] = _w(FP_CURRENT, "SELECT bucket, file_name, n_rows, hash FROM current_fp")
+PLAN = FP_CURRENT + B.fingerprint_cte("previous_fp", "corpus_raw") + B.registry_cte() + B.plan_cte()
+SQL["run_plan"] = _w(PLAN, """
+SELECT bucket, file_name, n_rows, hash, action,
+       CASE WHEN action IN ('skip_completed', 'in_progress') THEN known_job END AS job_id FROM plan""")
+_now = 1.76e9
+_newjob = f"md5('job@{_now}|' || hash)"
+SQL["registry_upsert"] = _w(PLAN, f""",
+relaunch AS (SELECT * FROM plan WHERE action IN ('launch', 'retry_failed')),
+merged AS (
+  SELECT hash, job_id, file_name, trait, created_at FROM registry WHERE hash NOT IN (SELECT hash FROM relaunch)
+  UNION ALL
+  SELECT hash, 'ft-' || substr({_newjob}, 1, 8) || '-' || substr({_newjob}, 9, 4) AS job_id, file_name,
+         bucket AS trait, {B.d(_now)} AS created_at FROM relaunch),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY created_at DESC, job_id DESC) AS rn FROM merged)
+SELECT hash, job_id, file_name, trait, created_at FROM ranked WHERE rn = 1""")
+
+from ..operators.registry import EVENT_STATUS  # noqa: E402
+_ev = "CASE " + " ".join(f"WHEN event_type = {B.lit(k)} THEN {B.lit(v)}" for k, v in EVENT_STATUS.items()) \
+    + " ELSE 'cancelled' END"
+SQL["job_terminal_status"] = f"""
+WITH log AS (SELECT 'ft-' || CAST(user_id AS VARCHAR) AS job_id, ts, event_id, {_ev} AS status FROM events),
+latest AS (SELECT job_id, count(*) AS n_events, arg_max(status, (ts, event_id)) AS last_status FROM log GROUP BY job_id)
+SELECT job_id, n_events, last_status,
+       CASE WHEN last_status = 'completed' THEN 'completed' WHEN last_status IN ('failed', 'cancelled') THEN 'failed'
+            ELSE 'remaining' END AS outcome
+FROM latest"""
+
+_req = ", ".join(f"({B.lit(f'{t}_{p}')})" for t in C.PLANNER_TRAITS for p in ("plus", "minus"))
+SQL["coverage_audit"] = _w(BUCKETS, f""",
+requested AS (SELECT * FROM (VALUES {_req}) AS t(bucket)),
+available AS (SELECT bucket, count(*) AS n_rows FROM bucket_rows GROUP BY bucket),
+audit AS (
+  SELECT r.bucket, TRUE AS requested, a.n_rows IS NOT NULL AS available, CAST(coalesce(a.n_rows, 0) AS BIGINT) AS n_rows
+  FROM requested r LEFT JOIN available a ON r.bucket = a.bucket
+  UNION ALL
+  SELECT a.bucket, FALSE, TRUE, CAST(a.n_rows AS BIGINT) FROM available a
+  WHERE a.bucket NOT IN (SELECT bucket FROM requested))
+SELECT *, CASE WHEN requested AND available THEN 'ready' WHEN requested THEN 'missing' ELSE 'unrequested' END AS status
+FROM audit""")
+
+# ------------------------------------------------------------- vectors ---
+_names = BUCKETS + ",\nnames AS (SELECT DISTINCT bucket AS name FROM bucket_rows)"
+_sv = B.strict_vector_sql("name", C.PLANNER_TRAITS)
+SQL["trait_vectors"] = _w(_names, f""",
+vt AS (SELECT name, 'lora_checkpoints/' || replace(name, chr(92), '/') || '.safetensors' AS file_path,
+       {', '.join(f'{v} AS v{i}' for i, v in enumerate(_sv))} FROM names)
+SELECT *, {' AND '.join(f'v{i} = 0' for i in range(len(_sv)))} AS zero_vector FROM vt""")
+_lv, _fb = B.lenient_vector_sql("name", C.LENIENT_TRAITS)
+_lenient = f""",
+lt AS (SELECT name, {', '.join(f'{v} AS v{i}' for i, v in enumerate(_lv))}, {_fb} AS fallback FROM names)"""
+SQL["trait_vectors_lenient"] = _w(_names, _lenient + "\nSELECT * FROM lt")
+_vc = ", ".join(f"v{i}" for i in range(len(_lv)))
+SQL["trait_vector_audit"] = _w(_names, _lenient + f""",
+g AS (SELECT {_vc}, count(*) AS n_sharing, min(name) AS first_name FROM lt GROUP BY {_vc})
+SELECT lt.name, g.first_name, g.n_sharing, g.n_sharing > 1 AS shared,
+       {' AND '.join(f'lt.v{i} = 0' for i in range(len(_lv)))} AS zero_vector, lt.fallback
+FROM lt JOIN g USING ({_vc})""")
+
+_dv = B.dbl_list("embedding")
+_STATS = f"""
+s0 AS (SELECT vec_id, {_dv} AS v, len(embedding) AS n FROM embeddings WHERE len(embedding) > 0),
+s1 AS (SELECT *, list_sum(v) / n AS mean FROM s0),
+s2 AS (SELECT *, list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) / n AS var FROM s1),
+stats AS (
+  SELECT vec_id, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(var, 6) AS variance, round(sqrt(var), 6) AS std,
+         list_min(list_filter(v, lambda x: isfinite(x))) AS "min", list_max(list_filter(v, lambda x: isfinite(x))) AS "max",
+         CAST(len(list_filter(v, lambda x: abs(x) < 1e-10)) AS BIGINT) AS zeros,
+         CAST(len(list_filter(v, lambda x: NOT isfinite(x))) AS BIGINT) AS non_finite
+  FROM s2)"""
+SQL["vector_stats"] = _w(_STATS, "SELECT * FROM stats")
+SQL["vector_validity"] = _w(_STATS, """
+SELECT count(*) AS n_vectors, count(DISTINCT n) AS n_dims, arg_min(n, vec_id) AS first_dim,
+       bool_and(non_finite = 0) AS all_finite, bool_and(variance > 0) AS all_vary,
+       count(DISTINCT n) = 1 AS consistent_dims, TRUE AS all_processed
+FROM stats""")
+SQL["vector_dup_signature"] = f"""
+SELECT min(vec_id) AS first_id, count(*) AS n_vectors, count(*) - 1 AS duplicates
+FROM embeddings GROUP BY list_slice(embedding, 1, {C.SIGNATURE_VALUES})"""
+SQL["cosine_triplets"] = f"""
+WITH j AS (SELECT a.vec_id AS anchor, a.embedding AS a, b.embedding AS b, c.embedding AS c
+           FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2),
+r AS (SELECT anchor, round({B.cosine_sql('a', 'b')}, 6) AS cos_near, round({B.cosine_sql('a', 'c')}, 6) AS cos_far FROM j)
+SELECT anchor, cos_near, cos_far, coalesce(cos_near > cos_far, FALSE) AS order_holds FROM r"""
+SQL["vector_global"] = """
+WITH x AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)
+SELECT count(*) AS n_values, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, min(x) AS "min", max(x) AS "max"
+FROM x"""
+SQL["vector_fit"] = f"""
+SELECT vec_id, CAST({C.VECTOR_DIM} AS BIGINT) AS fitted_dim, CAST(greatest({C.VECTOR_DIM} - len(embedding), 0) AS BIGINT)
+       AS padded,
+       round(sqrt(list_sum(list_transform(list_slice(embedding, 1, {C.VECTOR_DIM}),
+             lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS l2
+FROM embeddings"""
+
+_T = B.tensors_cte()
+SQL["adapter_flat_values"] = _w(_T, """
+SELECT t.adapter, t.tensor_key, l."offset" + t.pos AS flat_pos, t.value FROM tensors t JOIN layout l USING (tensor_key)""")
+SQL["adapter_flatten"] = _w(_T, """,
+expected AS (SELECT sum(numel) AS expected, count(*) AS expected_tensors FROM layout),
+summary AS (SELECT adapter, count(DISTINCT tensor_key) AS n_tensors, count(*) AS n_values FROM tensors GROUP BY adapter)
+SELECT s.adapter, s.n_tensors, s.n_values, CAST(e.expected AS BIGINT) AS expected, e.expected_tensors,
+       s.n_values = e.expected AND s.n_tensors = e.expected_tensors AS length_ok
+FROM summary s, expected e""")
+SQL["vector_norms"] = _w(_T, """,
+sq AS (SELECT adapter, round(sum(CASE WHEN ends_with(tensor_key, 'lora_A') THEN value * value END), 6) AS sumsq_a,
+              round(sum(CASE WHEN ends_with(tensor_key, 'lora_B') THEN value * value END), 6) AS sumsq_b
+       FROM tensors GROUP BY adapter),
+ref AS (SELECT tensor_key, pos, value AS ref_value FROM tensors WHERE adapter = 'adapter_0'),
+diff AS (SELECT t.adapter, round(avg(abs(t.value - r.ref_value)), 6) AS mean_abs_diff_to_ref
+         FROM tensors t JOIN ref r USING (tensor_key, pos) GROUP BY t.adapter)
+SELECT sq.*, diff.mean_abs_diff_to_ref FROM sq LEFT JOIN diff USING (adapter)""")
+SQL["vector_blend"] = _w(_T, f"""
+SELECT tensor_key, pos, round(sum({B.d(C.ADAPTER_BLEND_WEIGHT)} * value), 6) AS value, count(*) AS n_adapters
+FROM tensors GROUP BY tensor_key, pos""")

@@ -410,3 +410,94 @@ hashes AS (SELECT node, CAST(('0x' || substr(md5(shingle), 1, 8)) AS BIGINT) AS
 sigs AS (SELECT d.node, {mins} FROM (SELECT {id_col} AS node FROM {table}) d LEFT JOIN hashes h ON d.node = h.node
          GROUP BY d.node),
 bands AS ({band_sel})"""
+
+
+# ------------------------------------------------------------ registry ---
+
+def fingerprint_cte(name: str, src: str) -> str:
+    """Shard fingerprints over the bucket rows of ``src`` (a corpus CTE)."""
+    d = "md5(concat_ws(chr(31), prompt, completion))"
+    words = ", ".join(f"CAST(('0x' || substr({d}, {8 * i + 1}, 8)) AS BIGINT) AS w{i}" for i in range(4))
+    sums = ", ".join(f"sum(w{i}) AS s{i}" for i in range(4))
+    fp = "md5(concat_ws(':', CAST(n_rows AS VARCHAR), " + ", ".join(
+        f"CAST(s{i} AS VARCHAR)" for i in range(4)) + "))"
+    return f""",
+{name}_rows AS (SELECT * EXCLUDE (buckets), unnest(buckets) AS bucket
+                FROM (SELECT *, {bucket_list()} AS buckets FROM {src}) WHERE len(buckets) > 0),
+{name}_words AS (SELECT bucket, {words} FROM (
+    SELECT bucket, {prompt_sql()} AS prompt, coalesce(utterance, '') AS completion FROM {name}_rows)),
+{name}_agg AS (SELECT bucket, count(*) AS n_rows, {sums} FROM {name}_words GROUP BY bucket),
+{name} AS (SELECT bucket, bucket || '.jsonl' AS file_name, n_rows, {fp} AS hash FROM {name}_agg)"""
+
+
+def registry_cte(fp: str = "previous_fp") -> str:
+    statuses = ", ".join(lit(s) for s in ["completed", "failed", "cancelled", "running"])
+    job = "'ft-' || substr(md5('job|' || hash), 1, 8) || '-' || substr(md5('job|' || hash), 9, 4)"
+    return f""",
+registry AS (
+  SELECT hash, {job} AS job_id, file_name, bucket AS trait,
+         {d(1.75e9)} + CAST({hash32('created', 'hash')} % 100000 AS DOUBLE) AS created_at,
+         list_value({statuses})[{hash32('status', 'hash')} % 4 + 1] AS status
+  FROM {fp})"""
+
+
+def plan_cte() -> str:
+    return """,
+plan AS (
+  SELECT c.bucket, c.file_name, c.n_rows, c.hash,
+         CASE WHEN r.status IS NULL THEN 'launch' WHEN r.status = 'completed' THEN 'skip_completed'
+              WHEN r.status IN ('failed', 'cancelled') THEN 'retry_failed' ELSE 'in_progress' END AS action,
+         r.job_id AS known_job
+  FROM current_fp c LEFT JOIN registry r ON c.hash = r.hash)"""
+
+
+# -------------------------------------------------------------- vectors ---
+
+def strict_vector_sql(name: str, traits) -> list[str]:
+    out = []
+    for t in traits:
+        p, m = lit(f"{t}_plus"), lit(f"{t}_minus")
+        out.append(f"CASE WHEN starts_with({name}, {p}) OR ends_with({name}, {p}) THEN {d(1)} "
+                   f"WHEN starts_with({name}, {m}) OR ends_with({name}, {m}) THEN {d(-1)} ELSE {d(0)} END")
+    return out
+
+
+def lenient_vector_sql(name: str, traits) -> tuple[list[str], str]:
+    low = f"lower({name})"
+    base = []
+    for t in traits:
+        base.append(
+            f"CASE WHEN contains({low}, {lit(t + '_plus')}) OR contains({low}, {lit(t + '+')}) THEN {d(1)} "
+            f"WHEN contains({low}, {lit(t + '_minus')}) OR contains({low}, {lit(t + '-')}) THEN {d(-1)} "
+            f"WHEN contains({low}, {lit(t)}) THEN {d(C.LENIENT_MENTION_SCORE)} ELSE {d(0)} END")
+    fallback = "(" + " AND ".join(f"({b}) = 0" for b in base) + ")"
+    slot = f"({hash32('slot', name)} % {len(traits)})"
+    vec = [f"CASE WHEN {fallback} AND {slot} = {i} THEN {d(C.LENIENT_FALLBACK_SCORE)} ELSE {b} END"
+           for i, b in enumerate(base)]
+    return vec, fallback
+
+
+def dbl_list(x: str) -> str:
+    return f"list_transform({x}, lambda v: CAST(v AS DOUBLE))"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    dot = f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)))"
+    na = f"list_sum(list_transform({a}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))"
+    nb = f"list_sum(list_transform({b}, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))"
+    den = f"(sqrt({na}) * sqrt({nb}))"
+    return f"CASE WHEN len({a}) = len({b}) AND {den} > 0 THEN {dot} / {den} END"
+
+
+def tensors_cte() -> str:
+    return """
+tensors AS (
+  SELECT 'adapter_' || CAST(vec_id // 8 AS VARCHAR) AS adapter,
+         'layers.' || CAST((vec_id % 8) // 2 AS VARCHAR) || '.lora_' || CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END
+           AS tensor_key,
+         CAST(unnest(range(0, len(embedding))) AS BIGINT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS value
+  FROM embeddings),
+layout0 AS (SELECT tensor_key, count(*) AS numel FROM tensors WHERE adapter = 'adapter_0' GROUP BY tensor_key),
+layout AS (SELECT tensor_key, numel,
+                  CAST(coalesce(sum(numel) OVER (ORDER BY tensor_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                       AS BIGINT) AS "offset" FROM layout0)"""
