@@ -21,7 +21,11 @@ from ..operators import registry as RG
 from ..operators import report as R
 from ..operators import vectors as V
 from ..operators import sample as S
+from ..session import scratch_path
+from ..sinks import writers as K
 from ..sources import adapters as A
+from ..sources import files as FS
+from ..streaming import fill as ST
 from ..sources import mapping as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -390,3 +394,70 @@ def vector_blend(spark, sf_dir):
     t = _tensors(spark, sf_dir)
     weights = t.select("adapter").distinct().withColumn("weight", F.lit(C.ADAPTER_BLEND_WEIGHT))
     return V.blend(t, weights)
+
+
+# ------------------------------------------------- files, sinks, streams ---
+
+@register("corpus_export_roundtrip")
+def corpus_export_roundtrip(spark, sf_dir):
+    """K-3 + S-8: export the corpus as nested JSONL to the shared folder and
+    read it back with the fixed schema (strict mode)."""
+    path = scratch_path(spark, "corpus-jsonl")
+    K.export_corpus(corpus(spark, sf_dir), path, "jsonl")
+    return K.flat(FS.read_corpus_jsonl(spark, path, strict=True))
+
+
+@register("seed_file_scan")
+def seed_file_scan(spark, sf_dir):
+    """K-7 + S-7 + W-3 + Q-14: write the selected seeds as JSONL and as plain
+    text lines, then load them back (first 5000 lines per file)."""
+    seeds = SD.first_seeds(_seed_classified(spark, sf_dir))
+    base = scratch_path(spark, "seeds")
+    K.write_jsonl(seeds, f"{base}/jsonl")
+    seeds.select("utterance").write.text(f"{base}/text")
+    return SD.read_seed_lines(spark, [f"{base}/jsonl", f"{base}/text"])
+
+
+@register("artifact_audit")
+def artifact_audit(spark, sf_dir):
+    """S-10 over the table files themselves (size vs declared header)."""
+    return FS.artifact_audit(spark, f"{sf_dir}/*.parquet")
+
+
+@register("adapter_json_ingest")
+def adapter_json_ingest(spark, sf_dir):
+    """S-9: write adapter weight documents (tensors as plain lists or as
+    {data, shape, dtype} dicts) and ingest them back to the long table.
+    Grouping is per adapter over its architecture-sized tensor set."""
+    t = V.adapter_tensors(_emb(spark, sf_dir))
+    per_tensor = t.groupBy("adapter", "tensor_key").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("pv"))
+    vals = F.transform("pv", lambda x: x["value"])
+    entry = F.when(F.col("tensor_key").endswith("lora_A"), F.to_json(vals)).otherwise(
+        F.to_json(F.struct(vals.alias("data"), F.array(F.size("pv").cast("long")).alias("shape"),
+                           F.lit("float32").alias("dtype"))))
+    docs = per_tensor.groupBy("adapter").agg(
+        F.map_from_entries(F.collect_list(F.struct("tensor_key", entry.alias("entry")))).alias("entries"))
+    path = scratch_path(spark, "adapters")
+    docs.select(F.to_json(F.struct(
+        F.create_map(F.lit("name"), F.col("adapter")).alias("metadata"),
+        F.col("entries").alias("state_dict"))).alias("value")).write.text(path)
+    return FS.read_adapter_json(spark, path, multi_line=False)
+
+
+@register("fill_stream")
+def fill_stream(spark, sf_dir):
+    """D-5 micro-batch form: documents arrive as a file stream (one file per
+    trigger) and fill the buckets through ``foreachBatch``."""
+    base = scratch_path(spark, "fill-stream")
+    docs = A.table(spark, sf_dir, "documents")
+    buckets = F.array(*[F.lit(b) for b in C.BUCKETS])
+    cand = docs.select(
+        F.col("doc_id").alias("node"),
+        F.element_at(buckets, (F.pmod(F.col("doc_id"), F.lit(len(C.BUCKETS))) + 1).cast("int")).alias("bucket"),
+        F.col("text"), F.lit(None).cast("string").alias("seed"))
+    cand.repartition(4, F.pmod(F.col("node"), F.lit(4))).write.parquet(f"{base}/incoming")
+    stream = spark.readStream.schema(cand.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/incoming")
+    q = ST.start_fill(spark, stream, f"{base}/shards", f"{base}/bands", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.json(f"{base}/shards")
