@@ -74,29 +74,44 @@ def repetitive(col) -> Column:
 FEATURES = ["_len", "_low", "_slen", "_plen", "_rep"]
 
 
+def stripped_bounds(c: Column):
+    """(leading, trailing) whitespace run lengths, both from anchored
+    matches (the trailing one on the reversed text), so stripping never
+    scans the text with an unanchored trailing-whitespace pattern."""
+    lead = F.length(F.regexp_extract(c, f"^{WS}*", 0))
+    trail = F.length(F.regexp_extract(F.reverse(c), f"^{WS}*", 0))
+    return lead, trail
+
+
 def with_text_features(df, col: str):
     """Stage the inputs of the Q-1..Q-6 classifier as plain columns so each
-    regex runs once per row, however often the reason refers to it.  Word
-    splitting for the repetition check runs only where it can decide the
-    outcome (200 < length <= 2000); longer texts are already extreme."""
+    regex runs once per row, however often the reason refers to it.
+
+    Only the length and the stripped length are needed for every row; the
+    lower-cased text, the punctuation test and the word split feed rules
+    that a text longer than 2000 characters never reaches (it is already
+    ``extreme_length``), so they are computed for short texts only."""
     c = F.col(col)
-    stripped = py_strip(c)
     n = C.REPETITION_PHRASE_WORDS
+    length = F.length(c)
+    short = length <= C.MAX_UTTERANCE_CHARS
+    lead, trail = stripped_bounds(c)
     staged = df.select(
         "*",
-        F.length(c).alias("_len"),
-        F.lower(c).alias("_low"),
-        stripped.alias("_stripped"),
-        F.when((F.length(c) > C.REPETITION_MIN_CHARS) & (F.length(c) <= C.MAX_UTTERANCE_CHARS), words(c))
-        .alias("_words"),
+        length.alias("_len"),
+        F.greatest(length - lead - trail, F.lit(0)).alias("_slen"),
+        lead.alias("_lead"),
+        F.when(short, F.lower(c)).alias("_low"),
+        F.when(short & (length > C.REPETITION_MIN_CHARS), words(c)).alias("_words"),
     )
+    stripped = F.substring(F.col(col), F.col("_lead") + 1, F.col("_slen"))
     w = F.col("_words")
     first = F.array_join(F.slice(w, 1, n), " ")
     rest = F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(1))), " ")
     return staged.select(
-        *[x for x in df.columns], "_len", "_low",
-        F.length("_stripped").alias("_slen"),
-        F.length(F.translate(F.col("_stripped"), C.PUNCT_REMOVED, "")).alias("_plen"),
+        *[x for x in df.columns], "_len", "_low", "_slen",
+        F.when(F.col("_len") <= C.MAX_UTTERANCE_CHARS,
+               F.length(F.translate(stripped, C.PUNCT_REMOVED, ""))).alias("_plen"),
         F.coalesce((F.size(w) > C.REPETITION_MIN_WORDS) & rest.contains(first), F.lit(False)).alias("_rep"),
     )
 
@@ -138,13 +153,15 @@ def skip_reason(col) -> Column:
 def clean_seed(col) -> Column:
     """Q-11: collapse whitespace and strip; null when unusable."""
     c = _c(col)
-    collapsed = F.regexp_replace(py_strip(c), f"{WS}+", " ")
+    # strip, then collapse runs: leading/trailing runs collapse to a single
+    # space that the final trim removes (the result has no other whitespace)
+    collapsed = F.trim(F.regexp_replace(c, f"{WS}+", " "))
     low = F.lower(collapsed)
     word_chars = F.regexp_replace(collapsed, NON_WORD_NON_SPACE, "")
     return (
         F.when(c.isNull() | (c == ""), F.lit(None))
         .when(contains_any(low, C.SEED_ARTIFACTS), F.lit(None))
-        .when(F.length(py_strip(collapsed)) < C.SEED_MIN_CHARS, F.lit(None))
+        .when(F.length(collapsed) < C.SEED_MIN_CHARS, F.lit(None))
         .when(F.length(word_chars) < C.SEED_MIN_WORD_CHARS, F.lit(None))
         .otherwise(collapsed)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions import text as X
+from ..functions.plan import fence
 
 SEED_SOURCE = "MELD"
 
@@ -27,16 +28,16 @@ def classify_seeds(src: DataFrame, include_low_intensity: bool = True,
     """
     emotion = F.lower(F.col("emotion"))
     cleaned = X.clean_seed(F.col("text"))
-    df = src.withColumn("emotion", emotion).withColumn("cleaned", cleaned)
+    df = fence(src.withColumn("emotion", emotion).withColumn("cleaned", cleaned))
     verdict = F.when(F.col("cleaned").isNull(), F.lit("cleaning_failed")).otherwise(
         X.seed_reason(F.col("cleaned"), min_words, max_words))
     target = F.col("emotion").isin(target_emotions(include_low_intensity))
-    return df.select(
+    return fence(df.select(
         "conv_id", "turn", "emotion", "cleaned",
         target.alias("target_emotion"),
         verdict.alias("seed_reason"),
         F.when(~target, F.lit("not_target_emotion")).otherwise(verdict).alias("reason"),
-    )
+    ))
 
 
 def seed_rows(classified: DataFrame) -> DataFrame:

@@ -20,7 +20,20 @@ ARRAY_EMOTION_IDS = 8                              # ids 0..6 mapped, 7 unmapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text work at least one input partition per core.
+
+    A table stored as one large row group scans as a single partition, so
+    every regex would run in one task.  When the scan has fewer splits than
+    the default parallelism, rows are spread round-robin; on a cluster
+    reading many splits this is a no-op (no shuffle is added)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def optional_source(spark: SparkSession, reader, schema) -> DataFrame:
