@@ -56,12 +56,17 @@ def _finish(df: DataFrame, source: str, utterance: Column, origin: Column, tag:
     u = F.col("utterance")
     short = u.isNull() | (F.col("_slen") < C.PRE_FILTER_MIN_STRIPPED)
     reason = F.coalesce(pre_reason(short), F.when(u.isNull(), F.lit("short")), X.staged_skip_reason())
-    return fence(staged.select(
+    fenced = fence(staged.select(
         "utterance", "source", "origin_id", "original_tag",
         F.col("_len").cast("long").alias("utterance_length"),
-        X.word_count(u).cast("long").alias("word_count"),
         *C.TRAIT_COLUMNS, "label", reason.alias("reason"),
     ))
+    # word_count sits above the fence: filters on ``reason`` run first and
+    # queries that never read it prune the whole-text regex away.
+    return fenced.select(
+        "utterance", "source", "origin_id", "original_tag", "utterance_length",
+        X.word_count(F.col("utterance")).cast("long").alias("word_count"),
+        *C.TRAIT_COLUMNS, "label", "reason")
 
 
 # Lookup columns the pre-checks read; carried through stage 1.
