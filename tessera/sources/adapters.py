@@ -19,8 +19,13 @@ EMOTION_SLOTS = len(C.ALPHABETICAL_EMOTIONS) + 2   # 41 names + 2 unmapped
 ARRAY_EMOTION_IDS = 8                              # ids 0..6 mapped, 7 unmapped
 
 
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A test table; text tables (regex-heavy work) are spread across cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
