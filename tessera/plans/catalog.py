@@ -461,3 +461,23 @@ def fill_stream(spark, sf_dir):
     q = ST.start_fill(spark, stream, f"{base}/shards", f"{base}/bands", f"{base}/checkpoint")
     q.awaitTermination()
     return spark.read.json(f"{base}/shards")
+
+
+@register("shard_export")
+def shard_export(spark, sf_dir):
+    """K-5 + B-2: write every bucket's nested rows as one shard directory per
+    bucket (overwrite), read the shards back and report each shard's size
+    and whether it meets the minimum for training."""
+    rows = _bucket_rows(spark, sf_dir)
+    path = scratch_path(spark, "shards")
+    K.write_shards(_nested_with_bucket(rows), path)
+    back = spark.read.json(path)
+    return B.bucket_sizes(back)
+
+
+def _nested_with_bucket(rows):
+    return rows.select(
+        "utterance",
+        F.struct(*[F.col(f"trait_{t}").alias(t) for t in C.TRAITS]).alias("traits"),
+        F.struct("source", "origin_id", "original_tag").alias("source_metadata"),
+        "bucket")

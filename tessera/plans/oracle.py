@@ -252,3 +252,5 @@ SELECT sq.*, diff.mean_abs_diff_to_ref FROM sq LEFT JOIN diff USING (adapter)"""
 SQL["vector_blend"] = _w(_T, f"""
 SELECT tensor_key, pos, round(sum({B.d(C.ADAPTER_BLEND_WEIGHT)} * value), 6) AS value, count(*) AS n_adapters
 FROM tensors GROUP BY tensor_key, pos""")
+
+SQL["shard_export"] = SQL["bucket_sizes"]
