@@ -1,7 +1,7 @@
 """A-1..A-14, W-2, J-3: the processing funnel and the data-quality report.
 
 The original report runs one query per trait and one per source; here each
-report is a single pass: ``stack`` unpivots the ten trait columns so one
+report is a single pass: ``unpivot`` turns the ten trait columns into rows so one
 ``groupBy(trait, source)`` covers all of them, and the top-tags list is one
 window over (source, tag) counts.  All aggregates are partial
 (map-side combined) before their shuffle.
@@ -79,8 +79,8 @@ def unpivot_traits(corpus: DataFrame) -> DataFrame:
 
 def trait_polarity(corpus: DataFrame) -> DataFrame:
     """A-8: for every (trait, source): positive / negative / zero counts and
-    avg / min / max.  The average is taken on the exact tenths grid when the
-    value is on it, otherwise rounded, so it is independent of sum order."""
+    avg / min / max.  The average is rounded to six decimals so it does not
+    depend on summation order; min/max are exact."""
     v = F.col("value")
     return unpivot_traits(corpus).groupBy("trait", "source").agg(
         F.count(F.when(v > 0, 1)).alias("positive"),
