@@ -73,3 +73,13 @@ def test_funnel_sums_to_input(spark):
     emb = A.table(spark, SF_SMALL, "embeddings").join(
         A.table(spark, SF_SMALL, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id").count()
     assert total == 2 * conv + 2 * docs + emb
+
+
+def test_optional_source_and_split(spark):
+    def broken():
+        return spark.read.parquet("/nonexistent/path/for/tessera")
+    empty = A.optional_source(spark, broken, "text string, label long")
+    assert empty.count() == 0 and empty.columns == ["text", "label"]
+    df = spark.createDataFrame([("a", "train"), ("b", "test")], "t string, split string")
+    assert [r["t"] for r in A.select_split(df, "test").collect()] == ["b"]
+    assert A.select_split(df.drop("split"), "test").count() == 2
