@@ -36,3 +36,21 @@ def test_unknown_bucket_rejected(spark):
 
 def test_bucket_dim_has_20_poles(spark):
     assert M.bucket_dim(spark).count() == 20
+
+
+def test_buckets_match_predicate(spark):
+    import random
+    rng = random.Random(5)
+    grid = [-1.0, -0.7, -0.6, -0.5, 0.0, 0.5, 0.59, 0.6, 1.0]
+    rows = [(f"u{i}", "s", f"o{i}", *[rng.choice(grid) for _ in C.TRAITS]) for i in range(200)]
+    schema = "utterance string, source string, origin_id string, " + ", ".join(f"{c} double" for c in C.TRAIT_COLUMNS)
+    df = spark.createDataFrame(rows, schema)
+    got = {(r["origin_id"], r["bucket"]) for r in B.bucket_rows(df).collect()}
+    want = set()
+    for r in rows:
+        for t, v in zip(C.TRAITS, r[3:]):
+            if v >= 0.6:
+                want.add((r[2], f"{t}_plus"))
+            elif v <= -0.6:
+                want.add((r[2], f"{t}_minus"))
+    assert got == want
