@@ -9,7 +9,7 @@ window over (source, tag) counts.  All aggregates are partial
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -42,12 +42,12 @@ def strata_counts(corpus: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")).orderBy("source", "original_tag"))
 
 
-def reduction_summary(before: DataFrame, after: DataFrame) -> DataFrame:
-    """A-6: totals before/after sampling, the reduction and its percentage.
-    Both sides are one-row global aggregates joined on a constant key."""
-    b = before.agg(F.count(F.lit(1)).alias("total_before")).withColumn("k", F.lit(1))
-    a = after.agg(F.count(F.lit(1)).alias("total_after")).withColumn("k", F.lit(1))
-    return b.join(a, "k").select(
+def reduction_summary(raw: DataFrame, kept: Column) -> DataFrame:
+    """A-6: totals before/after sampling, the reduction and its percentage,
+    in one aggregation over the unsampled corpus (``kept`` is the sampling
+    predicate)."""
+    agg = raw.agg(F.count(F.lit(1)).alias("total_before"), F.count_if(kept).alias("total_after"))
+    return agg.select(
         "total_before", "total_after",
         (F.col("total_before") - F.col("total_after")).alias("reduction"),
         F.round(F.when(F.col("total_before") > 0,

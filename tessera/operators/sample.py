@@ -39,10 +39,15 @@ def stratum_rate() -> Column:
     return expr.when(src.isin(C.SAMPLING_SOURCES), F.lit(RATE_SCALE)).otherwise(F.lit(0))
 
 
+def keep(salt: str = DEFAULT_SALT) -> Column:
+    """M-1 predicate: hash(source, origin_id) mod 10 000 < the stratum rate."""
+    h = hash32(F.col("source"), F.col("origin_id"), salt=salt)
+    return F.coalesce(F.pmod(h, F.lit(RATE_SCALE)) < stratum_rate(), F.lit(False))
+
+
 def stratified_sample(corpus: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """M-1: keep a row iff hash(source, origin_id) mod 10 000 < its rate."""
-    h = hash32(F.col("source"), F.col("origin_id"), salt=salt)
-    return corpus.filter(F.pmod(h, F.lit(RATE_SCALE)) < stratum_rate())
+    return corpus.filter(keep(salt))
 
 
 def random_sample(corpus: DataFrame, seed: int = 42) -> DataFrame:

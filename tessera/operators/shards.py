@@ -119,16 +119,19 @@ def paraphrase_requests(needs: DataFrame, pool: DataFrame,
     equi-join on the seed number -- no cross product.  The template is one of
     the bucket's four, picked by hash.
     """
-    numbered = numbered_pool(pool)
-    size = numbered.agg(F.count(F.lit(1)).alias("pool_size")).withColumn("one", F.lit(1))
+    numbered = numbered_pool(pool).checkpoint(eager=True)
+    # the pool is capped by the seed selector, so its size is a bounded scalar
+    pool_size = numbered.count()
+    if pool_size == 0:
+        return numbered.select(F.lit(None).cast("string").alias("bucket"), F.lit(0).cast("long").alias("request_no"),
+                               "seed", F.lit(None).cast("string").alias("system_prompt")).limit(0)
     req = (needs.filter(F.col("need") > 0)
            .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("need") * factor - 1)))
-           .withColumn("one", F.lit(1))
-           .join(F.broadcast(size), "one").drop("one"))
+           .withColumn("pool_size", F.lit(pool_size).cast("long")))
     n_req = F.col("need") * factor
     offset = F.pmod(hash32(F.col("bucket"), salt="offset"), F.col("pool_size"))
     pick = F.pmod(hash32(F.col("bucket"), F.col("k").cast("string"), salt="pick"), F.col("pool_size"))
-    req = req.filter(F.col("pool_size") > 0).withColumn(
+    req = req.withColumn(
         "seed_no", F.when(F.col("pool_size") >= n_req, F.pmod(offset + F.col("k"), F.col("pool_size")))
         .otherwise(pick))
     tmpl = F.get(F.col("templates"), F.pmod(hash32(F.col("bucket"), F.col("k").cast("string"), salt="tmpl"),

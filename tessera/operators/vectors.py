@@ -216,11 +216,13 @@ def flatten_adapters(tensors: DataFrame, reference: str) -> DataFrame:
     layout = tensor_layout(tensors, reference)
     flat = tensors.join(F.broadcast(layout), "tensor_key").select(
         "adapter", "tensor_key", (F.col("offset") + F.col("pos")).alias("flat_pos"), "value")
-    expected = layout.agg(F.sum("numel").alias("expected"), F.count(F.lit(1)).alias("expected_tensors"))
+    # the layout has one row per tensor key (architecture-bounded): its
+    # totals are scalars, attached as literals rather than by a join
+    totals = layout.agg(F.sum("numel").alias("expected"), F.count(F.lit(1)).alias("expected_tensors")).first()
     summary = (tensors.groupBy("adapter").agg(F.count_distinct("tensor_key").alias("n_tensors"),
                                                F.count(F.lit(1)).alias("n_values"))
-               .withColumn("one", F.lit(1))
-               .join(F.broadcast(expected.withColumn("one", F.lit(1))), "one").drop("one"))
+               .withColumn("expected", F.lit(totals["expected"]).cast("long"))
+               .withColumn("expected_tensors", F.lit(totals["expected_tensors"]).cast("long")))
     summary = summary.withColumn("length_ok", (F.col("n_values") == F.col("expected"))
                                  & (F.col("n_tensors") == F.col("expected_tensors")))
     return flat, summary

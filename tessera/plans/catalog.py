@@ -82,8 +82,7 @@ def corpus_sampled(spark, sf_dir):
 
 @register("sampling_reduction")
 def sampling_reduction(spark, sf_dir):
-    raw = L.corpus_raw(spark, sf_dir)
-    return R.reduction_summary(raw, S.stratified_sample(raw))
+    return R.reduction_summary(L.corpus_raw(spark, sf_dir), S.keep())
 
 
 @register("sampling_strata_counts")
