@@ -50,3 +50,16 @@ def test_matches_oracle(spark, con, name):
     def rows(df):
         return sorted((tuple(_norm(r[c]) for c in cols) for r in df.to_dict("records")), key=repr)
     assert rows(pdf) == rows(odf)
+
+
+def test_fixture_counts_sf001(spark):
+    """Independent counts from FIXTURES.md section 2 (sf0.01)."""
+    sf = "/root/testdata/sf0.01"
+    q = E.queries()
+    reasons = {r["reason"]: r["count"] for r in q["utterance_quality"](spark, sf).groupBy("reason").count().collect()}
+    assert reasons == {"meaningful": 578, "extreme_length": 382, "repetitive corruption": 35,
+                       "too short and no emotional content": 5}
+    seeds = {r["seed_reason"]: r["count"] for r in q["seed_quality"](spark, sf).groupBy("seed_reason").count().collect()}
+    assert seeds == {"good_seed": 143, "too_long": 377, "too_short": 14, "simple_question": 2}
+    roles = {r["reason"]: r["n"] for r in q["skip_funnel"](spark, sf).filter("source = 'EmpatheticDialogues'").collect()}
+    assert roles == {"unmapped": 16, "skip_flag": 9, "processed": 511}
