@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     drawn = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda j: _uniform(F.concat_ws("|", F.col("_mix_name"), j.cast("string"))))
     count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("_mix_cdf", lambda c: u >= c)))
     d = d.withColumn("_mix_count", count).where(F.col("_mix_count") > 0)
-    d = d.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).cast("long"))
+    d = d.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_count").cast("long"))))
     d = d.withColumn("mix_key", F.md5(F.concat_ws("|", F.col("_mix_name"), F.lit("copy"), F.col("mix_copy").cast("string"))))
     return d.select(*columns, "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 

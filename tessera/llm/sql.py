@@ -75,11 +75,11 @@ base AS (
   FROM d LEFT JOIN refs own ON own.l = d.lang LEFT JOIN dup_lines u USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
 hits AS (
   SELECT b.doc_id, b.l, r.common, r.ref_classes, r.ref_words, b.classes, b.n_words,
-         [list_position(r.common, lower(w)) FOR w IN b.words IF length(w) <= 6 AND list_contains(r.common, lower(w))] AS at
+         [list_position(r.common, lower(w)) FOR w IN b.words IF length(w) <= 6 AND list_contains(r.common, lower(w))] AS found
   FROM base b JOIN refs r ON r.l = b.l),
 shares AS (
   SELECT doc_id, ref_classes, ref_words, [x / greatest(list_sum(classes), 1.0) FOR x IN classes] AS cs,
-         [x / greatest(n_words, 1) FOR x IN list_concat([len([1 FOR a IN at IF a = k]) FOR k IN range(1, len(common) + 1)], [n_words - len(at)])] AS ws
+         [x / greatest(n_words, 1) FOR x IN list_concat([len([1 FOR a IN found IF a = k]) FOR k IN range(1, len(common) + 1)], [n_words - len(found)])] AS ws
   FROM hits),
 distances AS (SELECT doc_id, {_js('cs', 'ref_classes')} AS class_distance, {_js('ws', 'ref_words')} AS word_distance FROM shares),
 failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
