@@ -4,12 +4,24 @@ with production parameters to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from public_tokenizers import path as tokenizer_path
 
-from . import mixing, quality, simhash
+from . import bpe, huffman, mixing, quality, simhash
 from .common import read_table
 from .sql import SQL  # noqa: F401  (re-exported)
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.token_files(read_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), with_ids=False)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -22,4 +34,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).select("doc_id", *quality.RESULT)
 
 
-REGISTRY = {f.__name__: f for f in (op4_simhash, op5_mixing, op8_quality)}
+REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_simhash, op5_mixing, op8_quality)}
