@@ -6,12 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe, huffman, mixing, quality, simhash
+from . import bpe, huffman, langid, mixing, quality, simhash, topk
 from .common import read_table
 from .sql import SQL  # noqa: F401  (re-exported)
 
-
 TOKENIZER = "byte_bpe_50k.json"
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), with_ids=False)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"), tokenizer_path(VOCABULARY))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
@@ -34,4 +38,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents")).select("doc_id", *quality.RESULT)
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op4_simhash, op5_mixing, op8_quality)}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op8_quality, op9_topk)}

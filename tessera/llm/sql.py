@@ -90,4 +90,15 @@ SELECT f.doc_id, f.n_words::BIGINT AS n_words, f.word_chars::BIGINT AS word_char
 FROM failed f JOIN distances s USING (doc_id)
 """
 
-SQL = {"op5_mixing": MIXING, "op8_quality": QUALITY}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+SQL = {"op5_mixing": MIXING, "op8_quality": QUALITY, "op9_topk": TOP_K}
