@@ -18,6 +18,7 @@ null ids and extra columns are allowed.  Without labelled rows every text is
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -249,7 +250,7 @@ class Scorer:
         return [self.langs[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist())], np.where(some, share, 0.0)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def identify(docs: DataFrame, vocab_path: str, sample: int = SAMPLE) -> DataFrame:
@@ -257,7 +258,7 @@ def identify(docs: DataFrame, vocab_path: str, sample: int = SAMPLE) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, vocab_path, sample))
     d = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
 
-    def run(batches, key=model.id):
+    def run(batches, key=uuid.uuid4().hex):
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(*model.value)
