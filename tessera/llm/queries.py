@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe, huffman, langid, mixing, quality, simhash, topk
+from . import bpe, htmlmain, huffman, langid, mixing, quality, simhash, topk
 from .common import read_table
 from .sql import SQL  # noqa: F401  (re-exported)
 
@@ -42,4 +42,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op8_quality, op9_topk)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(read_table(spark, sf_dir, "pages"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op8_quality, op9_topk, op10_main_text)}
