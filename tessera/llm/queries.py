@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe, htmlmain, huffman, langid, mixing, passages, quality, simhash, topk
+from . import bpe, chat, htmlmain, huffman, langid, mixing, passages, quality, simhash, topk
 from .common import read_table
 from .sql import SQL  # noqa: F401  (re-exported)
 
@@ -34,6 +34,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.parse(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(read_table(spark, sf_dir, "pages"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op7_passages, op8_quality, op9_topk, op10_main_text)}
+REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op6_chat, op7_passages, op8_quality, op9_topk, op10_main_text)}
