@@ -28,11 +28,9 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.mix_copy, md5(c.name ||
 FROM copies c JOIN d ON d.doc_id = c.doc_id
 """
 
-_CLASS_PATTERNS = {
-    "lower": r"[^\p{Ll}]+", "upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+", "stop": r"[^.,;:!?''\"()\-]+",
-    "symbol": r"[^#*$%&|<>{}\[\]=+~^\\/@_]+", "blank": r"[^\x20\x09-\x0D]+",
-}
-_CLASS_LIST = ", ".join(f"length(regexp_replace(t, '{p}', '', 'g'))::DOUBLE" for p in _CLASS_PATTERNS.values())
+_CLASS_PATTERNS = [
+    r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"\p{Nd}+", r"[.,;:!?''\"()\-]+", r"[#*$%&|<>{}\[\]=+~^\\/@_]+"]
+_CLASS_LIST = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))::DOUBLE" for p in _CLASS_PATTERNS)
 _JS = """CASE WHEN {a} > 0 THEN {a} * ln({a} * 2 / ({a} + {b})) ELSE 0 END + CASE WHEN {b} > 0 THEN {b} * ln({b} * 2 / ({a} + {b})) ELSE 0 END"""
 
 
