@@ -58,19 +58,6 @@ def is_short_or_empty(col, min_stripped: int = C.PRE_FILTER_MIN_STRIPPED) -> Col
     return c.isNull() | (F.length(py_strip(c)) < min_stripped)
 
 
-def repetitive(col) -> Column:
-    """Q-3: long text whose first ten words re-occur in the rest."""
-    c = _c(col)
-    w = words(c)
-    n = C.REPETITION_PHRASE_WORDS
-    first = F.array_join(F.slice(w, 1, n), " ")
-    rest = F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(1))), " ")
-    return F.when(
-        F.length(c) > C.REPETITION_MIN_CHARS,
-        F.when(F.size(w) > C.REPETITION_MIN_WORDS, rest.contains(first)).otherwise(F.lit(False)),
-    ).otherwise(F.lit(False))
-
-
 FEATURES = ["_len", "_low", "_slen", "_plen", "_rep"]
 
 
@@ -130,24 +117,6 @@ def staged_skip_reason() -> Column:
     )
 
 
-def skip_reason(col) -> Column:
-    """Q-1..Q-6 as one ordered classifier; null means the text is kept."""
-    c = _c(col)
-    low = F.lower(c)
-    stripped = py_strip(c)
-    length = F.length(c)
-    return (
-        F.when(length > C.MAX_UTTERANCE_CHARS, F.lit("extreme_length"))
-        .when(contains_any(low, C.CORRUPTION_MARKERS), F.lit("corrupted data"))
-        .when(repetitive(c), F.lit("repetitive corruption"))
-        .when((length < C.MEANINGFUL_MIN_LENGTH) & ~contains_any(low, C.EMOTIONAL_KEYWORDS),
-              F.lit("too short and no emotional content"))
-        .when(F.length(stripped) < C.NOISE_MIN_STRIPPED, F.lit("too short"))
-        .when(F.length(F.translate(stripped, C.PUNCT_REMOVED, "")) < C.PUNCT_MIN_REMAINING,
-              F.lit("mostly punctuation"))
-    )
-
-
 # ---------------------------------------------------------------- seeds ---
 
 def clean_seed(col) -> Column:

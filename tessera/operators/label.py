@@ -73,9 +73,14 @@ def _finish(df: DataFrame, source: str, utterance: Column, origin: Column, tag:
 _PRE_INPUTS = ["_skip", "_mapped", "_is_speaker", "_n_emotions", "_bad_label", "_empty_label"]
 
 
-def _meaningful(utterance: Column) -> Column:
-    """Q-1..Q-6; a missing utterance is classified ``short``."""
-    return F.when(utterance.isNull(), F.lit("short")).otherwise(X.skip_reason(utterance))
+def utterance_reasons(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``utterance_length``, ``word_count`` and ``reason`` (Q-1..Q-6;
+    ``short`` for a missing text, ``meaningful`` for one that is kept)."""
+    staged = X.with_text_features(df, text)
+    t = F.col(text)
+    reason = F.when(t.isNull(), F.lit("short")).otherwise(F.coalesce(X.staged_skip_reason(), F.lit("meaningful")))
+    return fence(staged.select(*df.columns, F.col("_len").cast("long").alias("utterance_length"), reason.alias("reason"))) \
+        .withColumn("word_count", X.word_count(t).cast("long"))
 
 
 # ---------------------------------------------------------------- roles ---

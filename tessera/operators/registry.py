@@ -25,14 +25,14 @@ def shard_fingerprints(rows: DataFrame, content_cols=("prompt", "completion")) -
     Each row's md5 is split into four 32-bit words; the shard digest is the
     md5 of (count, four word sums).  Sums are partial aggregates, so the
     fingerprint is one linear pass, independent of row order and of the
-    number of partitions, and never collects a shard.  (Four 32-bit sums
-    stay exact for up to 2**31 rows per shard.)
+    number of partitions, and never collects a shard.  Sums are decimals of
+    38 digits, exact for any number of rows.
     """
     d = row_digest(*content_cols)
-    words = [F.conv(F.substring(d, 8 * i + 1, 8), 16, 10).cast("long").alias(f"w{i}") for i in range(4)]
+    words = [F.conv(F.substring(d, 8 * i + 1, 8), 16, 10).cast("decimal(10,0)").alias(f"w{i}") for i in range(4)]
     per_row = rows.select("bucket", *words)
     agg = per_row.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"w{i}").alias(f"s{i}") for i in range(4)])
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(F.col(f"w{i}").cast("decimal(28,0)")).alias(f"s{i}") for i in range(4)])
     fp = F.md5(F.concat_ws(":", F.col("n_rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(4)]))
     return agg.select(
         "bucket", F.concat(F.col("bucket"), F.lit(".jsonl")).alias("file_name"), "n_rows", fp.alias("hash"))

@@ -25,21 +25,23 @@ def skip_funnel(classified: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def source_distribution(corpus: DataFrame) -> DataFrame:
-    """A-5: rows per source, largest first."""
-    return corpus.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source")
+def sampled_strata() -> Column:
+    """A-4: whether a row lies in a down-sampled (source, tag) stratum."""
+    cond = F.lit(False)
+    for source, tag, _ in C.SAMPLING_STRATA:
+        if tag is not None:
+            cond = cond | ((F.col("source") == source) & (F.col("original_tag") == tag))
+    return cond
 
 
-def strata_counts(corpus: DataFrame) -> DataFrame:
-    """A-4: rows in the down-sampled strata, per (source, tag)."""
-    cond = None
-    for source, tag, _ in C.SAMPLING_STRATA:
-        if tag is None:
-            continue
-        c = (F.col("source") == source) & (F.col("original_tag") == tag)
-        cond = c if cond is None else cond | c
-    return (corpus.filter(cond).groupBy("source", "original_tag")
-            .agg(F.count(F.lit(1)).alias("n")).orderBy("source", "original_tag"))
+def before_and_after(raw: DataFrame, keys: list[str], kept: Column) -> DataFrame:
+    """A-4, A-5: rows per key before and after sampling, counted in one pass
+    over the unsampled corpus; before first, then the largest first."""
+    both = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("after"))
+    rows = both.select(*keys, F.explode(F.array(
+        F.struct(F.lit("before").alias("stage"), F.col("before").alias("n")),
+        F.struct(F.lit("after").alias("stage"), F.col("after").alias("n")))).alias("r"))
+    return rows.select(*keys, "r.n", "r.stage").filter("n > 0").orderBy(F.desc("stage"), F.desc("n"), *keys)
 
 
 def reduction_summary(raw: DataFrame, kept: Column) -> DataFrame:
@@ -67,7 +69,7 @@ def source_stats(corpus: DataFrame) -> DataFrame:
         F.round(F.avg("word_count"), 6).alias("avg_words"),
         F.count_distinct("original_tag").alias("unique_tags"),
         F.count_distinct("origin_id").alias("unique_origins"),
-    )
+    ).orderBy("source")
 
 
 def unpivot_traits(corpus: DataFrame) -> DataFrame:
@@ -89,7 +91,7 @@ def trait_polarity(corpus: DataFrame) -> DataFrame:
         F.round(F.avg(v), 6).alias("avg_value"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
-    )
+    ).orderBy("trait", "source")
 
 
 def top_tags(corpus: DataFrame, k: int = C.TOP_TAGS) -> DataFrame:
@@ -97,7 +99,7 @@ def top_tags(corpus: DataFrame, k: int = C.TOP_TAGS) -> DataFrame:
     The window runs over the per-(source, tag) counts, not over rows."""
     counts = corpus.groupBy("source", "original_tag").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("source").orderBy(F.desc("n"), F.asc_nulls_first("original_tag"))
-    return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).orderBy("source", "rank")
 
 
 def quality_issues(corpus: DataFrame) -> DataFrame:
@@ -107,9 +109,5 @@ def quality_issues(corpus: DataFrame) -> DataFrame:
         F.count_if(F.col("utterance_length") < C.SHORT_UTTERANCE_CHARS).alias("short_utterances"),
         F.count_if(F.col("utterance_length") > C.LONG_UTTERANCE_CHARS).alias("long_utterances"),
         F.count_if(all_zero()).alias("all_zero_traits"),
-    )
-
+    ).orderBy("source")
 
-def total_rows(corpus: DataFrame) -> DataFrame:
-    """A-11."""
-    return corpus.agg(F.count(F.lit(1)).alias("total_samples"))

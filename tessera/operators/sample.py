@@ -48,21 +48,3 @@ def keep(salt: str = DEFAULT_SALT) -> Column:
 def stratified_sample(corpus: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """M-1: keep a row iff hash(source, origin_id) mod 10 000 < its rate."""
     return corpus.filter(keep(salt))
-
-
-def random_sample(corpus: DataFrame, seed: int = 42) -> DataFrame:
-    """M-1, random variant: Spark's stratified Bernoulli ``sampleBy``."""
-    stratum = F.concat_ws("|", F.col("source"), F.coalesce(F.col("original_tag"), F.lit("")))
-    keys = corpus.select(stratum.alias("stratum"), stratum_rate().alias("rate")).distinct()
-    fractions = {r["stratum"]: r["rate"] / RATE_SCALE for r in keys.collect()}  # bounded: one row per stratum
-    return corpus.withColumn("stratum", stratum).sampleBy("stratum", fractions, seed).drop("stratum")
-
-
-def hash_order(*cols: Column, salt: str = "o4") -> Column:
-    """O-4: a seeded, reproducible shuffle order."""
-    return hash32(*cols, salt=salt)
-
-
-def first_n(df: DataFrame, order_cols: list, n: int) -> DataFrame:
-    """O-3: the first ``n`` rows in input order (top-k, not a global sort)."""
-    return df.orderBy(*order_cols).limit(n)

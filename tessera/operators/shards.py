@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..sources import mapping as M
+from ..session import written
 from .sample import hash32
 
+#: Ranges of the seed pool's hash order.
+POOL_RANGE_BITS = 12
+
 
 def pole_array() -> Column:
     """B-1 / Q-15: the buckets a row belongs to (0..10 of them)."""
@@ -101,11 +105,18 @@ def fill_needs(spark: SparkSession, rows: DataFrame, target: int = C.TARGET_PER_
 
 
 def numbered_pool(pool: DataFrame, text_col: str = "seed") -> DataFrame:
-    """O-4: number the seed pool in a seeded hash order.  The pool is capped
-    by the seed selector (max_samples), so this global order is bounded."""
-    w = Window.orderBy(hash32(F.col(text_col), salt="pool"), F.col(text_col))
-    return pool.select(F.col(text_col).alias("seed"),
-                       (F.row_number().over(w) - 1).cast("long").alias("seed_no"))
+    """O-4: number the seeds of a pool of any size in a seeded hash order.  The
+    hash is cut into ranges; a seed's number is the number of seeds in the
+    ranges before plus its rank in its own, so no window spans the pool."""
+    h = hash32(F.col(text_col), salt="pool")
+    rows = written(pool.select(F.col(text_col).alias("seed"), h.alias("h"),
+                               F.shiftright(h, 32 - POOL_RANGE_BITS).alias("range")), "seed-pool")
+    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # 2 ** POOL_RANGE_BITS rows at most
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy("h", "seed"))
+    return rows.withColumn("rank", rank).join(F.broadcast(offsets), "range").select(
+        "seed", (F.col("offset") + F.col("rank") - 1).cast("long").alias("seed_no"))
 
 
 def paraphrase_requests(needs: DataFrame, pool: DataFrame,
@@ -119,8 +130,7 @@ def paraphrase_requests(needs: DataFrame, pool: DataFrame,
     equi-join on the seed number -- no cross product.  The template is one of
     the bucket's four, picked by hash.
     """
-    numbered = numbered_pool(pool).checkpoint(eager=True)
-    # the pool is capped by the seed selector, so its size is a bounded scalar
+    numbered = written(numbered_pool(pool), "seed-numbers")
     pool_size = numbered.count()
     if pool_size == 0:
         return numbered.select(F.lit(None).cast("string").alias("bucket"), F.lit(0).cast("long").alias("request_no"),

@@ -21,7 +21,7 @@ from ..operators import registry as RG
 from ..operators import report as R
 from ..operators import vectors as V
 from ..operators import sample as S
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sinks import writers as K
 from ..sources import adapters as A
 from ..sources import files as FS
@@ -39,16 +39,26 @@ def register(name: str):
     return deco
 
 
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source row with its reason, labelled and classified once per
+    session and version of the tables; the queries below read it."""
+    return stored(spark, sf_dir, "classified", ["conversations", "documents", "embeddings"], L.classified)
+
+
+def corpus_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.kept(classified(spark, sf_dir))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The balanced corpus: classified -> kept -> stratified sample."""
-    return S.stratified_sample(L.corpus_raw(spark, sf_dir))
+    return S.stratified_sample(corpus_raw(spark, sf_dir))
 
 
 # ----------------------------------------------------------- labelling ---
 
 def _source(name: str) -> Query:
     def q(spark, sf_dir):
-        return L.classified_sources(spark, sf_dir)[name]
+        return classified(spark, sf_dir).filter(F.col("source") == name)
     return q
 
 
@@ -67,12 +77,12 @@ def role_first_speaker(spark, sf_dir):
 
 @register("skip_funnel")
 def skip_funnel(spark, sf_dir):
-    return R.skip_funnel(L.classified(spark, sf_dir))
+    return R.skip_funnel(classified(spark, sf_dir))
 
 
 @register("corpus_union")
 def corpus_union(spark, sf_dir):
-    return L.corpus_raw(spark, sf_dir)
+    return corpus_raw(spark, sf_dir)
 
 
 @register("corpus_sampled")
@@ -82,23 +92,17 @@ def corpus_sampled(spark, sf_dir):
 
 @register("sampling_reduction")
 def sampling_reduction(spark, sf_dir):
-    return R.reduction_summary(L.corpus_raw(spark, sf_dir), S.keep())
+    return R.reduction_summary(corpus_raw(spark, sf_dir), S.keep())
 
 
 @register("sampling_strata_counts")
 def sampling_strata_counts(spark, sf_dir):
-    raw = L.corpus_raw(spark, sf_dir)
-    before = R.strata_counts(raw).withColumn("stage", F.lit("before"))
-    after = R.strata_counts(S.stratified_sample(raw)).withColumn("stage", F.lit("after"))
-    return before.unionByName(after)
+    return R.before_and_after(corpus_raw(spark, sf_dir).filter(R.sampled_strata()), ["source", "original_tag"], S.keep())
 
 
 @register("source_distribution")
 def source_distribution(spark, sf_dir):
-    raw = L.corpus_raw(spark, sf_dir)
-    before = R.source_distribution(raw).withColumn("stage", F.lit("before"))
-    after = R.source_distribution(S.stratified_sample(raw)).withColumn("stage", F.lit("after"))
-    return before.unionByName(after)
+    return R.before_and_after(corpus_raw(spark, sf_dir), ["source"], S.keep())
 
 
 @register("source_stats")
@@ -124,47 +128,52 @@ def quality_issues(spark, sf_dir):
 @register("label_frequency")
 def label_frequency(spark, sf_dir):
     """A-1: label frequency per source, before any filter."""
-    c = L.classified(spark, sf_dir).filter(F.col("label").isNotNull())
-    return c.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+    c = classified(spark, sf_dir).filter(F.col("label").isNotNull())
+    return c.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("source", F.desc("n"), "label")
 
 
 @register("unmapped_labels")
 def unmapped_labels(spark, sf_dir):
     """J-3: distinct labels missing from the mapping, with their counts."""
-    c = L.classified(spark, sf_dir).filter(F.col("reason") == "unmapped")
+    c = classified(spark, sf_dir).filter(F.col("reason") == "unmapped")
     return c.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("utterance_quality")
 def utterance_quality(spark, sf_dir):
     """Q-1..Q-6 over every document, first failing reason (or meaningful)."""
-    docs = A.table(spark, sf_dir, "documents")
-    t = F.col("text")
-    return docs.select(
-        "doc_id",
-        X.utterance_length(t).cast("long").alias("utterance_length"),
-        X.word_count(t).cast("long").alias("word_count"),
-        F.coalesce(L._meaningful(t), F.lit("meaningful")).alias("reason"),
-    )
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return L.utterance_reasons(docs, "text").drop("text")
+
+
+@register("quality_edges")
+def quality_edges(spark, sf_dir):
+    """Q-1..Q-6 and Q-0 over edge texts made from every document, so that each reason occurs."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", A.edge_text("doc_id", "text").alias("text"))
+    return L.utterance_reasons(docs, "text").select("doc_id", "reason")
 
 
 @register("origin_counts")
 def origin_counts(spark, sf_dir):
     """A-3: distinct origin ids per source among processed rows."""
-    return L.corpus_raw(spark, sf_dir).groupBy("source").agg(
+    return corpus_raw(spark, sf_dir).groupBy("source").agg(
         F.count(F.lit(1)).alias("processed"), F.count_distinct("origin_id").alias("unique_origins"))
 
 
 # --------------------------------------------------------------- seeds ---
 
-def _seed_classified(spark, sf_dir):
+def _classify_seeds(spark, sf_dir):
     conv = A.table(spark, sf_dir, "conversations")
     return SD.classify_seeds(A.seeds_from_conversations(conv))
 
 
+def _seed_classified(spark, sf_dir):
+    return stored(spark, sf_dir, "seeds", ["conversations"], _classify_seeds)
+
+
 def seed_pool(spark, sf_dir):
-    """The seed pool: selected seeds inside the loader's word window (Q-14)."""
-    seeds = SD.first_seeds(_seed_classified(spark, sf_dir))
+    """The seed pool: every accepted seed inside the loader's word window (Q-14)."""
+    seeds = SD.seed_rows(_seed_classified(spark, sf_dir))
     n = F.col("word_count")
     return seeds.filter((n > C.LOADER_MIN_WORDS_EXCL) & (n < C.LOADER_MAX_WORDS_EXCL)).select(
         F.col("utterance").alias("seed"))
@@ -175,6 +184,14 @@ def seed_quality(spark, sf_dir):
     return _seed_classified(spark, sf_dir)
 
 
+@register("seed_edges")
+def seed_edges(spark, sf_dir):
+    """Q-11..Q-13 over edge texts made from every conversation row, with ``min_words`` 1."""
+    conv = A.table(spark, sf_dir, "conversations")
+    src = A.seeds_from_conversations(conv).withColumn("text", A.edge_seed("turn", "conv_id", "text"))
+    return SD.classify_seeds(src, min_words=1).select("conv_id", "turn", "cleaned", "seed_reason")
+
+
 @register("seed_skip_reasons")
 def seed_skip_reasons(spark, sf_dir):
     return SD.skip_reasons(_seed_classified(spark, sf_dir))
@@ -222,6 +239,16 @@ def paraphrase_requests(spark, sf_dir):
     return B.paraphrase_requests(needs, seed_pool(spark, sf_dir))
 
 
+FEW_TARGET = 10
+
+
+@register("paraphrase_requests_few")
+def paraphrase_requests_few(spark, sf_dir):
+    """N-1 with a target so low that seeds are drawn without replacement (M-2)."""
+    needs = B.fill_needs(spark, _bucket_rows(spark, sf_dir), FEW_TARGET)
+    return B.paraphrase_requests(needs, seed_pool(spark, sf_dir))
+
+
 @register("bucket_needs")
 def bucket_needs(spark, sf_dir):
     return B.fill_needs(spark, _bucket_rows(spark, sf_dir)).select("bucket", "existing", "need")
@@ -229,11 +256,15 @@ def bucket_needs(spark, sf_dir):
 
 # ------------------------------------------------------ near-duplicates ---
 
-def _doc_members(spark, sf_dir):
+def _build_members(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
     return D.document_members(docs)
 
 
+def _doc_members(spark, sf_dir):
+    return stored(spark, sf_dir, "members", ["documents"], _build_members)
+
+
 @register("minhash_bands")
 def minhash_bands(spark, sf_dir):
     return _doc_members(spark, sf_dir).select(F.col("node").alias("doc_id"), "band", "band_key")
@@ -251,24 +282,26 @@ def greedy_dedup(spark, sf_dir):
     return verdict.select(F.col("node").alias("doc_id"), "accepted")
 
 
-@register("fill_to_target")
-def fill_to_target(spark, sf_dir):
-    """D-5 + N-2: documents stand in for paraphrase responses (bucket by
-    doc_id), deduplicated per bucket against the existing shard rows and
-    appended up to each bucket's need."""
-    rows = _bucket_rows(spark, sf_dir)
-    needs = B.fill_needs(spark, rows).select("bucket", "need")
+def _candidates(spark, sf_dir):
+    """Documents stand in for paraphrase responses: bucket by doc_id, the
+    original seed by id."""
     buckets = F.array(*[F.lit(b) for b in C.BUCKETS])
-    docs = A.table(spark, sf_dir, "documents")
-    candidates = docs.select(
+    return A.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("node"),
         F.element_at(buckets, (F.pmod(F.col("doc_id"), F.lit(len(C.BUCKETS))) + 1).cast("int")).alias("bucket"),
         F.col("text"),
-        F.lit(None).cast("string").alias("seed"),
+        F.concat(F.lit("seed "), F.col("doc_id").cast("string")).alias("seed"),
     )
+
+
+@register("fill_to_target")
+def fill_to_target(spark, sf_dir):
+    """D-5 + N-2: responses deduplicated per bucket against the existing shard
+    rows and appended up to each bucket's need."""
+    rows = _bucket_rows(spark, sf_dir)
+    needs = B.fill_needs(spark, rows).select("bucket", "need")
     existing = rows.select("bucket", F.col("utterance").alias("text"))
-    accepted = D.fill_to_target(candidates, existing, needs)
-    return B.synthetic_rows(accepted)
+    return K.flat_synthetic(B.synthetic_rows(D.fill_to_target(_candidates(spark, sf_dir), existing, needs)))
 
 
 # ------------------------------------------------------------ registry ---
@@ -282,8 +315,11 @@ def _fingerprints(corpus_df):
 
 
 def _registry(spark, sf_dir):
-    """The previous run's registry: fingerprints of the unsampled corpus."""
-    return RG.registry_from_run(_fingerprints(L.corpus_raw(spark, sf_dir)))
+    """The previous run's registry: it saw the same shards, but for those of a
+    fifth of the buckets, which had the unsampled rows then."""
+    changed = F.pmod(RG.hash32(F.col("bucket"), salt="changed"), F.lit(5)) == 0
+    before = _fingerprints(corpus_raw(spark, sf_dir)).filter(changed)
+    return RG.registry_from_run(_fingerprints(corpus(spark, sf_dir)).filter(~changed).unionByName(before))
 
 
 @register("shard_fingerprints")
@@ -346,7 +382,8 @@ def vector_stats(spark, sf_dir):
 
 @register("vector_validity")
 def vector_validity(spark, sf_dir):
-    return V.validity(V.vector_stats(_emb(spark, sf_dir)))
+    emb = _emb(spark, sf_dir)
+    return V.validity(V.vector_stats(emb), expected=emb.count())
 
 
 @register("vector_dup_signature")
@@ -354,6 +391,14 @@ def vector_dup_signature(spark, sf_dir):
     return V.duplicate_signatures(_emb(spark, sf_dir))
 
 
+@register("vector_dup_copies")
+def vector_dup_copies(spark, sf_dir):
+    """X-10 where duplicates occur: every tenth vector comes twice."""
+    emb = _emb(spark, sf_dir)
+    again = emb.filter(F.pmod("vec_id", F.lit(10)) == 0).withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    return V.duplicate_signatures(emb.unionByName(again))
+
+
 @register("cosine_triplets")
 def cosine_triplets(spark, sf_dir):
     return V.triplets(_emb(spark, sf_dir))
@@ -408,19 +453,23 @@ def corpus_export_roundtrip(spark, sf_dir):
 
 @register("seed_file_scan")
 def seed_file_scan(spark, sf_dir):
-    """K-7 + S-7 + W-3 + Q-14: write the selected seeds as JSONL and as plain
+    """K-7 + S-7 + W-3 + Q-14: write the accepted seeds as JSONL and as plain
     text lines, then load them back (first 5000 lines per file)."""
-    seeds = SD.first_seeds(_seed_classified(spark, sf_dir))
+    seeds = SD.seed_rows(_seed_classified(spark, sf_dir))
     base = scratch_path(spark, "seeds")
-    K.write_jsonl(seeds, f"{base}/jsonl")
+    K.write_jsonl(seeds.drop("conv_id", "turn"), f"{base}/jsonl")
     seeds.select("utterance").write.text(f"{base}/text")
-    return SD.read_seed_lines(spark, [f"{base}/jsonl", f"{base}/text"])
+    return SD.read_seed_lines(spark, [f"{base}/jsonl", f"{base}/text"]).select("seed")
 
 
 @register("artifact_audit")
 def artifact_audit(spark, sf_dir):
-    """S-10 over the table files themselves (size vs declared header)."""
-    return FS.artifact_audit(spark, f"{sf_dir}/*.parquet")
+    """S-10 over header-bearing artifacts written from the vectors, one small
+    file per 1024 ids; every fifth declares more bytes than it has."""
+    path = scratch_path(spark, "artifacts")
+    FS.write_artifacts(_emb(spark, sf_dir), path)
+    audit = FS.artifact_audit(spark, f"{path}/artifact=*/*.txt")
+    return audit.select(F.regexp_extract("path", r"artifact=([^/]+)/", 1).cast("long").alias("artifact"), "size", "header_len", "corrupt")
 
 
 @register("adapter_json_ingest")
@@ -446,20 +495,22 @@ def adapter_json_ingest(spark, sf_dir):
 
 @register("fill_stream")
 def fill_stream(spark, sf_dir):
-    """D-5 micro-batch form: documents arrive as a file stream (one file per
-    trigger) and fill the buckets through ``foreachBatch``."""
+    """D-5 micro-batch form: responses arrive as a file stream and fill empty
+    buckets through ``foreachBatch``."""
     base = scratch_path(spark, "fill-stream")
-    docs = A.table(spark, sf_dir, "documents")
-    buckets = F.array(*[F.lit(b) for b in C.BUCKETS])
-    cand = docs.select(
-        F.col("doc_id").alias("node"),
-        F.element_at(buckets, (F.pmod(F.col("doc_id"), F.lit(len(C.BUCKETS))) + 1).cast("int")).alias("bucket"),
-        F.col("text"), F.lit(None).cast("string").alias("seed"))
-    cand.repartition(4, F.pmod(F.col("node"), F.lit(4))).write.parquet(f"{base}/incoming")
-    stream = spark.readStream.schema(cand.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/incoming")
+    cand = _candidates(spark, sf_dir)
+    cand.write.parquet(f"{base}/incoming")
+    stream = spark.readStream.schema(cand.schema).parquet(f"{base}/incoming")
     q = ST.start_fill(spark, stream, f"{base}/shards", f"{base}/bands", f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.json(f"{base}/shards")
+    return K.flat_synthetic(ST.read_shards(spark, f"{base}/shards"))
+
+
+@register("label_dialogue_lists")
+def label_dialogue_lists(spark, sf_dir):
+    """P-1 + P-2 + L-3 over array dialogues, some without emotions."""
+    arrays = A.dialogue_arrays_from_conversations(A.table(spark, sf_dir, "conversations"))
+    return L.label_dialogue(A.explode_dialogue(arrays), M.numeric_dim(spark))
 
 
 @register("shard_export")
@@ -469,14 +520,7 @@ def shard_export(spark, sf_dir):
     and whether it meets the minimum for training."""
     rows = _bucket_rows(spark, sf_dir)
     path = scratch_path(spark, "shards")
-    K.write_shards(_nested_with_bucket(rows), path)
+    K.write_shards(K.nested(rows, "bucket"), path)
     back = spark.read.json(path)
     return B.bucket_sizes(back)
 
-
-def _nested_with_bucket(rows):
-    return rows.select(
-        "utterance",
-        F.struct(*[F.col(f"trait_{t}").alias(t) for t in C.TRAITS]).alias("traits"),
-        F.struct("source", "origin_id", "original_tag").alias("source_metadata"),
-        "bucket")

@@ -91,6 +91,15 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS utterance_length, {B.word_count('
        coalesce({B.meaningful('text')}, 'meaningful') AS reason
 FROM documents"""
 
+_PH = "alpha bravo charlie delta echo foxtrot golf hotel india juliet "
+SQL["quality_edges"] = f"""
+WITH edges AS (
+  SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN text WHEN 1 THEN 'this has CONV: id ' || substr(text, 1, 50)
+         WHEN 2 THEN repeat('{_PH}', 4) || substr(text, 1, 40) WHEN 3 THEN 'ok fine' WHEN 4 THEN 'sad'
+         WHEN 5 THEN '   .  !  ?  ,  x   ' WHEN 6 THEN substr(text, 1, 1500) WHEN 7 THEN 'I love it' END AS text
+  FROM documents)
+SELECT doc_id, coalesce({B.meaningful('text')}, 'meaningful') AS reason FROM edges"""
+
 SQL["origin_counts"] = _w(BASE, """
 SELECT source, count(*) AS processed, count(DISTINCT origin_id) AS unique_origins FROM corpus_raw GROUP BY 1""")
 
@@ -101,6 +110,22 @@ SQL["seed_skip_reasons"] = _w(SEEDS, "SELECT reason, count(*) AS n FROM seed_fun
 SQL["seed_emotions"] = _w(SEEDS, "SELECT emotion, count(*) AS n FROM seed_funnel GROUP BY 1")
 SQL["seed_top_n"] = _w(SEEDS, "SELECT utterance, source, emotion, origin_id, word_count FROM seed_top")
 
+_EDGE_SEEDS = [
+    "hello", "one two three four five six seven", "I think the train leaves at nine tomorrow",
+    "He put the box on the shelf today", "He put the box on the shelf today.",
+    "Why would they paint the kitchen green again?", " ".join(["word"] * 31), "!!! ??? ...", ""]
+_edge = "CASE (conv_id * 3 + turn) % 10 WHEN 0 THEN text " + " ".join(
+    f"WHEN {i} THEN {B.lit(x)}" for i, x in enumerate(_EDGE_SEEDS, 1)) + " END"
+SQL["seed_edges"] = f"""
+WITH edges AS (SELECT conv_id, turn, {_edge} AS text FROM conversations),
+cleaned AS (SELECT conv_id, turn, {B.clean_seed('text')} AS cleaned FROM edges)
+SELECT conv_id, turn, cleaned,
+       CASE WHEN cleaned IS NULL THEN 'cleaning_failed' ELSE {B.seed_reason('cleaned', 1)} END AS seed_reason
+FROM cleaned"""
+SQL["seed_file_scan"] = _w(SEEDS, "SELECT seed FROM seed_pool UNION ALL SELECT seed FROM seed_pool")
+SQL["label_dialogue_lists"] = _w(B.dialogue_list_ctes(), f"SELECT {_cols_of_classified()} FROM src_lists")
+SQL["corpus_export_roundtrip"] = _w(SAMPLED, f"SELECT utterance, {B.TRAIT_COLS}, source, origin_id, original_tag FROM corpus")
+
 BUCKETS = SAMPLED + B.bucket_ctes()
 SQL["bucket_rows"] = _w(BUCKETS, f"SELECT bucket, source, origin_id, {B.TRAIT_COLS} FROM bucket_rows")
 SQL["bucket_sizes"] = _w(BUCKETS, f"""
@@ -111,7 +136,7 @@ SQL["converted_counts"] = _w(BUCKETS, "SELECT bucket, count(*) AS n FROM bucket_
 SQL["bucket_needs"] = _w(BUCKETS, "SELECT bucket, existing, need FROM bucket_needs")
 
 _h = B.hash32
-SQL["paraphrase_requests"] = _w(BUCKETS + "," + SEEDS, f""",
+_REQUESTS = f""",
 numbered AS (SELECT seed, row_number() OVER (ORDER BY {_h('pool', 'seed')}, seed) - 1 AS seed_no FROM seed_pool),
 pool_size AS (SELECT count(*) AS pool_size FROM numbered),
 req AS (
@@ -126,7 +151,9 @@ picked AS (
 SELECT x.bucket, x.k AS request_no, s.seed,
        x.templates[{_h('tmpl', 'x.bucket', 'CAST(x.k AS VARCHAR)')} % 4 + 1] || {B.lit(C.STYLE_JOIN)} || x.description
          AS system_prompt
-FROM picked x JOIN numbered s ON x.seed_no = s.seed_no""")
+FROM picked x JOIN numbered s ON x.seed_no = s.seed_no"""
+SQL["paraphrase_requests"] = _w(BUCKETS + "," + SEEDS, _REQUESTS)
+SQL["paraphrase_requests_few"] = _w(SAMPLED + B.bucket_ctes(10) + "," + SEEDS, _REQUESTS)
 
 MINHASH = B.minhash_ctes()
 SQL["minhash_bands"] = _w(MINHASH, "SELECT node AS doc_id, band, band_key FROM bands")
@@ -135,6 +162,43 @@ band_min AS (SELECT band_key, min(node) AS band_min FROM bands GROUP BY band_key
 SELECT b.node AS doc_id, coalesce(min(CASE WHEN m.band_min < b.node THEN m.band_min END), -1) AS earliest_partner
 FROM bands b JOIN band_min m ON b.band_key = m.band_key GROUP BY b.node""")
 
+_SHARED = """,
+shared_bands AS (SELECT grp, band_key FROM members GROUP BY grp, band_key HAVING count(*) > 1),
+chosen AS (SELECT DISTINCT m.grp, m.node, m.band_key FROM members m SEMI JOIN shared_bands s ON s.grp = m.grp AND s.band_key = m.band_key),"""
+SQL["greedy_dedup"] = "WITH RECURSIVE " + MINHASH + """,
+members AS (SELECT 0 AS grp, node, band_key FROM bands), pre AS (SELECT 0 AS grp, 'x' AS band_key WHERE FALSE)""" \
+    + _SHARED + B.greedy_ctes("chosen") + """
+SELECT d.doc_id, coalesce(v.accepted, TRUE) AS accepted FROM documents d LEFT JOIN verdict v ON v.node = d.doc_id"""
+
+_bucket_of = "list_value(" + ", ".join(B.lit(b) for b in C.BUCKETS) + f")[doc_id % {len(C.BUCKETS)} + 1]"
+_traits = ", ".join(
+    f"CASE WHEN starts_with(b, '{t}_plus') THEN {B.d(1)} WHEN starts_with(b, '{t}_minus') THEN {B.d(-1)} ELSE {B.d(0)} END AS trait_{t}"
+    for t in C.TRAITS)
+
+
+def _fill(pre: str, needs: str) -> str:
+    """Accepted responses per bucket, in order, up to the need, as synthetic rows."""
+    return f""",
+members AS (SELECT {_bucket_of.replace('doc_id', 'node')} AS grp, node, band_key FROM bands),
+pre AS ({pre})""" + _SHARED.replace("HAVING count(*) > 1", "HAVING count(*) > 1 UNION SELECT grp, band_key FROM pre") \
+        + B.greedy_ctes("chosen") + f""",
+responses AS (SELECT doc_id, text, {_bucket_of} AS b, 'seed ' || CAST(doc_id AS VARCHAR) AS seed FROM documents),
+ranked AS (
+  SELECT r.*, row_number() OVER (PARTITION BY b ORDER BY doc_id) AS rank
+  FROM responses r LEFT JOIN verdict v ON v.node = r.doc_id WHERE coalesce(v.accepted, TRUE))
+SELECT text AS utterance, {_traits}, {B.lit(C.SYNTHETIC_SOURCE)} AS source,
+       sha256(concat_ws('|', b, text, seed)) AS origin_id, b AS original_tag, seed AS original_seed, b AS bucket
+FROM ranked r JOIN ({needs}) n ON n.bucket = r.b WHERE r.rank <= n.need"""
+
+
+_ROWS = ",\nshard_rows AS (SELECT *, row_number() OVER () AS rid FROM bucket_rows),"
+SQL["fill_to_target"] = "WITH RECURSIVE " + BUCKETS + _ROWS + B.minhash_ctes("shard_rows", "rid", "utterance", "old_") + "," + MINHASH \
+    + _fill("SELECT DISTINCT s.bucket AS grp, o.band_key FROM old_bands o JOIN shard_rows s ON s.rid = o.node",
+            "SELECT bucket, need FROM bucket_needs")
+SQL["fill_stream"] = "WITH RECURSIVE " + MINHASH + _fill(
+    "SELECT '' AS grp, '' AS band_key WHERE FALSE",
+    f"SELECT unnest(list_value({', '.join(B.lit(b) for b in C.BUCKETS)})) AS bucket, {C.TARGET_PER_BUCKET} AS need")
+
 # ------------------------------------------------------------ registry ---
 FP_CURRENT = SAMPLED + B.fingerprint_cte("current_fp", "corpus")
 SQL["shard_fingerprints"] = _w(FP_CURRENT, "SELECT bucket, file_name, n_rows, hash FROM current_fp")
@@ -211,8 +275,20 @@ SQL["vector_stats"] = _w(_STATS, "SELECT * FROM stats")
 SQL["vector_validity"] = _w(_STATS, """
 SELECT count(*) AS n_vectors, count(DISTINCT n) AS n_dims, arg_min(n, vec_id) AS first_dim,
        bool_and(non_finite = 0) AS all_finite, bool_and(variance > 0) AS all_vary,
-       count(DISTINCT n) = 1 AS consistent_dims, TRUE AS all_processed
+       count(DISTINCT n) = 1 AS consistent_dims,
+       count(*) = (SELECT count(*) FROM embeddings) AS all_processed
 FROM stats""")
+SQL["vector_dup_copies"] = f"""
+SELECT min(vec_id) AS first_id, count(*) AS n_vectors, count(*) - 1 AS duplicates
+FROM (SELECT vec_id, embedding FROM embeddings
+      UNION ALL SELECT vec_id + 1000000000, embedding FROM embeddings WHERE vec_id % 10 = 0)
+GROUP BY list_slice(embedding, 1, {C.SIGNATURE_VALUES})"""
+SQL["artifact_audit"] = """
+WITH a AS (SELECT vec_id // 1024 AS artifact, count(*) AS n FROM embeddings GROUP BY 1),
+b AS (SELECT artifact, length('{"part":' || artifact || ',"n":' || n || '}') AS len FROM a)
+SELECT artifact, CAST(len + 9 AS BIGINT) AS size, CAST(CASE WHEN artifact % 5 = 0 THEN 120 ELSE len END AS BIGINT) AS header_len,
+       artifact % 5 = 0 AND 120 > len + 9 AS corrupt
+FROM b"""
 SQL["vector_dup_signature"] = f"""
 SELECT min(vec_id) AS first_id, count(*) AS n_vectors, count(*) - 1 AS duplicates
 FROM embeddings GROUP BY list_slice(embedding, 1, {C.SIGNATURE_VALUES})"""
@@ -241,6 +317,7 @@ summary AS (SELECT adapter, count(DISTINCT tensor_key) AS n_tensors, count(*) AS
 SELECT s.adapter, s.n_tensors, s.n_values, CAST(e.expected AS BIGINT) AS expected, e.expected_tensors,
        s.n_values = e.expected AND s.n_tensors = e.expected_tensors AS length_ok
 FROM summary s, expected e""")
+SQL["adapter_json_ingest"] = _w(_T, "SELECT adapter, tensor_key, pos, value, 'float32' AS dtype FROM tensors")
 SQL["vector_norms"] = _w(_T, """,
 sq AS (SELECT adapter, round(sum(CASE WHEN ends_with(tensor_key, 'lora_A') THEN value * value END), 6) AS sumsq_a,
               round(sum(CASE WHEN ends_with(tensor_key, 'lora_B') THEN value * value END), 6) AS sumsq_b

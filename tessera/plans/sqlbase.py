@@ -206,32 +206,36 @@ src_string AS (
   FROM str_src x LEFT JOIN emotion_dim e ON x.emotion = e.emotion)"""
 
 
-def activation_trait_sql() -> list[str]:
-    out = []
-    for trait in C.TRAITS:
-        acc = d(0)
-        for column, target in C.ACTIVATIONS:
-            if target not in C.EMOTIONS:
-                continue
-            skip, scores = C.EMOTIONS[target]
-            if skip or trait not in scores:
-                continue
-            a = f"x.{column}"
-            acc = f"({acc} + CASE WHEN {a} > {d(C.ACTIVATION_MIN)} AND NOT isnan({a}) " \
-                  f"THEN {d(scores[trait])} * {a} ELSE {d(0)} END)"
-        for dim, dim_trait in C.DIMENSIONS:
-            if dim_trait == trait:
-                acc = f"({acc} + CASE WHEN x.{dim} > 0 THEN (x.{dim} - {d(C.DIMENSION_CENTER)}) * " \
-                      f"{d(C.DIMENSION_SCALE)} ELSE {d(0)} END)"
-        out.append(f"greatest({d(-1)}, least({d(1)}, {acc}))")
-    return out
+def activation_ctes() -> str:
+    """Trait sums of the activation source: active columns joined with the
+    scores of the emotion that each column stands for, plus the dimensions."""
+    columns = ", ".join(f"({i}, {lit(c)}, {lit(e)})" for i, (c, e) in enumerate(C.ACTIVATIONS))
+    scores = ", ".join(f"({lit(e)}, {lit(t)}, {d(v)})" for e, (skip, traits) in C.EMOTIONS.items() if not skip
+                       for t, v in traits.items())
+    dims = ", ".join(f"({100 + i}, {lit(c)}, {lit(t)})" for i, (c, t) in enumerate(C.DIMENSIONS))
+    names = [c for c, _ in C.ACTIVATIONS]
+    pivot = ", ".join(
+        f"greatest({d(-1)}, least({d(1)}, coalesce(list_sum(list(part ORDER BY ord) FILTER (trait = {lit(t)})), {d(0)}))) AS raw_{c}"
+        for t, c in zip(C.TRAITS, C.TRAIT_COLUMNS))
+    return f"""
+act_columns AS (SELECT * FROM (VALUES {columns}) AS t(ord, col, emotion)),
+act_scores AS (SELECT * FROM (VALUES {scores}) AS t(emotion, trait, score)),
+act_dims AS (SELECT * FROM (VALUES {dims}) AS t(ord, col, trait)),
+act_long AS (UNPIVOT act_src ON {', '.join(names)} INTO NAME col VALUE a),
+act_parts AS (
+  SELECT l.row_idx, c.ord, s.trait, s.score * l.a AS part
+  FROM act_long l JOIN act_columns c ON c.col = l.col JOIN act_scores s ON s.emotion = c.emotion
+  WHERE l.a > {d(C.ACTIVATION_MIN)} AND NOT isnan(l.a)
+  UNION ALL
+  SELECT l.row_idx, m.ord, m.trait, (l.v - {d(C.DIMENSION_CENTER)}) * {d(C.DIMENSION_SCALE)}
+  FROM (UNPIVOT act_src ON {', '.join(c for c, _ in C.DIMENSIONS)} INTO NAME col VALUE v) l JOIN act_dims m ON m.col = l.col
+  WHERE l.v > 0),
+act_sums AS (SELECT s.row_idx, {pivot} FROM act_src s LEFT JOIN act_parts p USING (row_idx) GROUP BY s.row_idx)"""
 
 
 def _activations() -> str:
     acts = ", ".join(f"CAST(abs(e.embedding[{k + 1}]) AS DOUBLE) AS {name}"
                      for k, (name, _) in enumerate(C.ACTIVATIONS))
-    raw = activation_trait_sql()
-    raw_cols = ", ".join(f"{t} AS raw_{c}" for t, c in zip(raw, C.TRAIT_COLUMNS))
     neutral = C.sparse_to_dense(C.EMOTIONS["neutral"][1])
     zero = " AND ".join(f"raw_{c} = 0" for c in C.TRAIT_COLUMNS)
     traits = [f"CASE WHEN {zero} AND x.major_emotion = 'neutral' THEN {d(neutral[i])} ELSE raw_{c} END"
@@ -245,7 +249,8 @@ act_src AS (
          {d(1)} + CAST((e.vec_id // 9) % 9 AS DOUBLE) * {d(0.5)} AS EmoVal,
          CASE WHEN e.vec_id % 10 = 0 THEN {d(0)} ELSE {d(3.5)} END AS EmoDom
   FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
-act_raw AS (SELECT x.*, {raw_cols} FROM act_src x),
+{activation_ctes().strip()},
+act_raw AS (SELECT x.*, y.* EXCLUDE (row_idx) FROM act_src x JOIN act_sums y USING (row_idx)),
 src_act AS (
   SELECT {finish('IEMOCAP', 'x.transcription', 'x.file', "coalesce(x.major_emotion, 'unknown')", traits, reason,
                  'x.major_emotion')}
@@ -255,6 +260,33 @@ src_act AS (
 CORPUS_COLS = "utterance, source, origin_id, original_tag, utterance_length, word_count, " + TRAIT_COLS
 
 
+def dialogue_list_ctes() -> str:
+    """Array dialogues of eight turns; ends in ``src_lists``."""
+    reason = (
+        "CASE WHEN x.n_emotions <= 0 THEN 'no_emotions' "
+        "WHEN n.emotion_name IS NULL THEN 'unmapped' WHEN n.skip THEN 'skip_flag' "
+        f"ELSE {meaningful('x.utterance')} END"
+    )
+    origin = "CAST(x.row_id AS VARCHAR) || '_' || CAST(x.pos AS VARCHAR)"
+    traits = [f"n.{c}" for c in C.TRAIT_COLUMNS]
+    return f"""
+numeric_dim AS (SELECT * FROM {numeric_values()}),
+lists AS (
+  SELECT conv_id * 1000 + turn // 8 AS row_id, conv_id, list(text ORDER BY turn) AS u,
+         list((conv_id + turn) % 8 ORDER BY turn) AS e
+  FROM conversations GROUP BY conv_id, turn // 8),
+counted_lists AS (
+  SELECT *, CASE WHEN conv_id % 7 = 0 THEN 0 ELSE len(u) - CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END END AS n_emotions
+  FROM lists),
+list_rows AS (
+  SELECT row_id, pos, u[pos + 1] AS utterance, n_emotions, CASE WHEN pos < n_emotions THEN e[pos + 1] END AS emotion_id
+  FROM (SELECT *, unnest(range(0, len(u))) AS pos FROM counted_lists)),
+src_lists AS (
+  SELECT {finish('DailyDialog', 'x.utterance', origin, 'n.emotion_name', traits, reason,
+                 'CASE WHEN x.n_emotions > 0 THEN coalesce(x.emotion_id, 0) END')}
+  FROM list_rows x LEFT JOIN numeric_dim n ON CAST(coalesce(x.emotion_id, 0) AS BIGINT) = n.emotion_id)"""
+
+
 def classified_ctes() -> str:
     """WITH-clause body ending in ``classified`` and ``corpus_raw``."""
     return ",".join([_roles(), _dialogue(), _int_labels(), _string_labels(), _activations()]) + f""",
@@ -306,7 +338,7 @@ def clean_seed(x: str) -> str:
     )
 
 
-def seed_reason(c: str) -> str:
+def seed_reason(c: str, min_words: int = C.SEED_MIN_WORDS) -> str:
     n = word_count(c)
     low = f"lower({strip(c)})"
     pats = " OR ".join(f"regexp_matches({low}, {lit(p.replace(chr(92) + 's', WS))})"
@@ -319,7 +351,7 @@ def seed_reason(c: str) -> str:
     )
     return (
         f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'empty' "
-        f"WHEN {n} < {C.SEED_MIN_WORDS} THEN 'too_short' WHEN {n} > {C.SEED_MAX_WORDS} THEN 'too_long' "
+        f"WHEN {n} < {min_words} THEN 'too_short' WHEN {n} > {C.SEED_MAX_WORDS} THEN 'too_long' "
         f"WHEN {pats} THEN 'too_simple' "
         f"WHEN {contains_any(low, C.QUESTION_WORDS)} AND {n} < {C.QUESTION_MAX_WORDS} THEN 'simple_question' "
         f"WHEN {complexity} = 0 AND {n} < {C.BASIC_MAX_WORDS} THEN 'too_basic' "
@@ -343,8 +375,10 @@ seed_top AS (
   SELECT cleaned AS utterance, 'MELD' AS source, emotion, CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR)
          AS origin_id, {word_count('cleaned')} AS word_count, conv_id, turn
   FROM seed_funnel WHERE reason = 'good_seed' ORDER BY conv_id, turn LIMIT {C.SEED_MAX_SAMPLES}),
+seed_all AS (
+  SELECT cleaned AS utterance, {word_count('cleaned')} AS word_count FROM seed_funnel WHERE reason = 'good_seed'),
 seed_pool AS (
-  SELECT utterance AS seed FROM seed_top
+  SELECT utterance AS seed FROM seed_all
   WHERE word_count > {C.LOADER_MIN_WORDS_EXCL} AND word_count < {C.LOADER_MAX_WORDS_EXCL})"""
 
 
@@ -390,7 +424,7 @@ bucket_needs AS (
 
 # --------------------------------------------------------------- dedup ---
 
-def minhash_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
+def minhash_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> str:
     from ..operators.dedup import EMPTY_SIGNATURE, PRIME, lsh_params, permutations
     perms = permutations()
     bands, rows = lsh_params()
@@ -398,18 +432,36 @@ def minhash_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str
                      for i, (a, b) in enumerate(perms))
     band_sel = " UNION ALL ".join(
         f"SELECT node, {j} AS band, md5(concat_ws(',', '{j}', "
-        + ", ".join(f"CAST(m{j * rows + k} AS VARCHAR)" for k in range(rows)) + ")) AS band_key FROM sigs"
+        + ", ".join(f"CAST(m{j * rows + k} AS VARCHAR)" for k in range(rows)) + f")) AS band_key FROM {prefix}sigs"
         for j in range(bands))
     return f"""
-toks AS (SELECT {id_col} AS node, regexp_extract_all(lower({text_col}), '{NON_WS}+') AS t FROM {table}),
-shingled AS (
+{prefix}toks AS (SELECT {id_col} AS node, regexp_extract_all(lower({text_col}), '{NON_WS}+') AS t FROM {table}),
+{prefix}shingled AS (
   SELECT node, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(0, len(t) - 2),
-         lambda i: array_to_string(list_slice(t, i + 1, i + 3), ' '))) ELSE [] END AS s FROM toks),
-hashes AS (SELECT node, CAST(('0x' || substr(md5(shingle), 1, 8)) AS BIGINT) AS hv
-           FROM (SELECT node, unnest(s) AS shingle FROM shingled)),
-sigs AS (SELECT d.node, {mins} FROM (SELECT {id_col} AS node FROM {table}) d LEFT JOIN hashes h ON d.node = h.node
-         GROUP BY d.node),
-bands AS ({band_sel})"""
+         lambda i: array_to_string(list_slice(t, i + 1, i + 3), ' '))) ELSE [] END AS s FROM {prefix}toks),
+{prefix}hashes AS (SELECT node, CAST(('0x' || substr(md5(shingle), 1, 8)) AS BIGINT) AS hv
+           FROM (SELECT node, unnest(s) AS shingle FROM {prefix}shingled)),
+{prefix}sigs AS (SELECT d.node, {mins} FROM (SELECT {id_col} AS node FROM {table}) d
+         LEFT JOIN {prefix}hashes h ON d.node = h.node GROUP BY d.node),
+{prefix}bands AS ({band_sel})"""
+
+
+def greedy_ctes(members: str) -> str:
+    """Sequential greedy acceptance over ``members`` (grp, node, band_key), a
+    step for each node in order; ``pre`` (grp, band_key) is indexed from the
+    start.  Ends in ``verdict`` (grp, node, accepted)."""
+    return f"""
+keyed AS (SELECT grp, node, list(DISTINCT band_key) AS ks FROM {members} GROUP BY grp, node),
+steps AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY node) AS rn FROM keyed),
+known AS (SELECT grp, list(DISTINCT band_key) AS ks FROM pre GROUP BY grp),
+walk AS (
+  SELECT s.grp, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS node, coalesce(any_value(k.ks), CAST([] AS VARCHAR[])) AS taken, FALSE AS accepted
+  FROM steps s LEFT JOIN known k ON k.grp = s.grp GROUP BY s.grp
+  UNION ALL
+  SELECT s.grp, s.rn, s.node, CASE WHEN list_has_any(w.taken, s.ks) THEN w.taken ELSE list_concat(w.taken, s.ks) END,
+         NOT list_has_any(w.taken, s.ks)
+  FROM walk w JOIN steps s ON s.grp = w.grp AND s.rn = w.rn + 1),
+verdict AS (SELECT grp, node, accepted FROM walk WHERE rn > 0)"""
 
 
 # ------------------------------------------------------------ registry ---
@@ -430,15 +482,17 @@ def fingerprint_cte(name: str, src: str) -> str:
 {name} AS (SELECT bucket, bucket || '.jsonl' AS file_name, n_rows, {fp} AS hash FROM {name}_agg)"""
 
 
-def registry_cte(fp: str = "previous_fp") -> str:
+def registry_cte() -> str:
     statuses = ", ".join(lit(s) for s in ["completed", "failed", "cancelled", "running"])
     job = "'ft-' || substr(md5('job|' || hash), 1, 8) || '-' || substr(md5('job|' || hash), 9, 4)"
+    changed = f"{hash32('changed', 'bucket')} % 5 = 0"
     return f""",
+before_fp AS (SELECT * FROM current_fp WHERE NOT ({changed}) UNION ALL SELECT * FROM previous_fp WHERE {changed}),
 registry AS (
   SELECT hash, {job} AS job_id, file_name, bucket AS trait,
          {d(1.75e9)} + CAST({hash32('created', 'hash')} % 100000 AS DOUBLE) AS created_at,
          list_value({statuses})[{hash32('status', 'hash')} % 4 + 1] AS status
-  FROM {fp})"""
+  FROM before_fp)"""
 
 
 def plan_cte() -> str:

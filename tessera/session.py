@@ -4,10 +4,11 @@ used to cut lineage (``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tessera") -> SparkSession:
@@ -33,11 +34,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set one only where none is configured
-    (local runs and tests).  On a cluster the folder comes from the session."""
+    (local runs and tests).  On a cluster the folder comes from the session:
+    without one this raises, since executors cannot read the driver's disk."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TESSERA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -49,3 +53,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared folder and reread: computed
+    once, and a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_version(spark: SparkSession, path: str) -> tuple:
+    """(name, size, modification time) of the files of a table."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return ()
+    files = fs.listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, tables: list[str], build) -> DataFrame:
+    """A table derived from ``tables``, written to the shared folder once per
+    session and version of its inputs, so that the queries over it do not
+    rebuild it."""
+    version = tuple(input_version(spark, f"{sf_dir}/{t}.parquet") for t in tables)
+    key = (spark.sparkContext.applicationId, sf_dir, name, version)
+    if key not in _stored:
+        df = build(spark, sf_dir)
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])

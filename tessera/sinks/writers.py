@@ -26,13 +26,14 @@ NESTED_SCHEMA = T.StructType([
 ])
 
 
-def nested(corpus: DataFrame) -> DataFrame:
+def nested(corpus: DataFrame, *keep: str) -> DataFrame:
     """P-4 / P-10: flat corpus row -> nested export record (length and word
     count are dropped, traits packed in fixed order)."""
     return corpus.select(
         "utterance",
         F.struct(*[F.col(f"trait_{t}").alias(t) for t in C.TRAITS]).alias("traits"),
         F.struct("source", "origin_id", "original_tag").alias("source_metadata"),
+        *keep,
     )
 
 
@@ -47,6 +48,19 @@ def flat(nested_df: DataFrame) -> DataFrame:
     )
 
 
+def flat_synthetic(rows: DataFrame) -> DataFrame:
+    """Synthetic rows with flat columns, the original seed and the bucket."""
+    return rows.select(
+        "utterance",
+        *[F.col(f"traits.{t}").alias(f"trait_{t}") for t in C.TRAITS],
+        F.col("source_metadata.source").alias("source"),
+        F.col("source_metadata.origin_id").alias("origin_id"),
+        F.col("source_metadata.original_tag").alias("original_tag"),
+        F.col("source_metadata.original_seed").alias("original_seed"),
+        "bucket",
+    )
+
+
 def export_corpus(corpus: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K-1..K-4, K-9: write the corpus as parquet, CSV with header, nested
     JSONL, or (``json``) nested JSON Lines; other formats are rejected."""
@@ -68,8 +82,9 @@ def read_csv_corpus(spark, path: str, schema: T.StructType) -> DataFrame:
 
 def write_shards(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K-5 / K-6: one directory per bucket (``bucket=<name>``), overwrite for
-    a full split, append for a fill."""
-    rows.repartition("bucket").write.mode(mode).partitionBy("bucket").json(path)
+    a full split, append for a fill.  Rows are rebalanced by bucket, so a large
+    bucket is written by several tasks and a small one by one."""
+    rows.hint("rebalance", F.col("bucket")).write.mode(mode).partitionBy("bucket").json(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -19,26 +19,9 @@ EMOTION_SLOTS = len(C.ALPHABETICAL_EMOTIONS) + 2   # 41 names + 2 unmapped
 ARRAY_EMOTION_IDS = 8                              # ids 0..6 mapped, 7 unmapped
 
 
-TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table; text tables (regex-heavy work) are spread across cores."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text work at least one input partition per core.
-
-    A table stored as one large row group scans as a single partition, so
-    every regex would run in one task.  When the scan has fewer splits than
-    the default parallelism, rows are spread round-robin; on a cluster
-    reading many splits this is a no-op (no shuffle is added)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """A test table.  Its partitions are the scan's splits."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def optional_source(spark: SparkSession, reader, schema) -> DataFrame:
@@ -146,6 +129,57 @@ def seeds_from_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
+def dialogue_arrays_from_conversations(conversations: DataFrame) -> DataFrame:
+    """S-3 in array form: row_id, utterances, emotions.  A dialogue is a stretch
+    of eight turns of a conversation, so an array has a bounded length; every
+    fifth conversation has one emotion fewer, every seventh has none."""
+    stretch = F.floor(F.col("turn") / 8).cast("long")
+    rows = conversations.groupBy("conv_id", stretch.alias("stretch")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("r"))
+    emotions = F.transform("r", lambda x: F.pmod(F.col("conv_id") + x["turn"], F.lit(ARRAY_EMOTION_IDS)))
+    short = F.when(F.pmod("conv_id", F.lit(5)) == 0, F.size("r") - 1).otherwise(F.size("r"))
+    return rows.select(
+        (F.col("conv_id") * 1000 + F.col("stretch")).alias("row_id"),
+        F.transform("r", lambda x: x["text"]).alias("utterances"),
+        F.when(F.pmod("conv_id", F.lit(7)) == 0, F.slice(emotions, 1, 0)).otherwise(
+            F.slice(emotions, F.lit(1), short)).alias("emotions"),
+    )
+
+
+EDGE_PHRASE = "alpha bravo charlie delta echo foxtrot golf hotel india juliet "
+
+
+def edge_text(id_col: str, text_col: str):
+    """A text for every id that meets a rule of the utterance filter."""
+    t = F.col(text_col)
+    edges = [
+        t, F.concat(F.lit("this has CONV: id "), F.substring(t, 1, 50)),
+        F.concat(F.lit(EDGE_PHRASE * 4), F.substring(t, 1, 40)), F.lit("ok fine"), F.lit("sad"),
+        F.lit("   .  !  ?  ,  x   "), F.substring(t, 1, 1500), F.lit("I love it"), F.lit(None).cast("string"),
+    ]
+    return _pick(F.col(id_col), edges)
+
+
+EDGE_SEEDS = [
+    "hello", "one two three four five six seven", "I think the train leaves at nine tomorrow",
+    "He put the box on the shelf today", "He put the box on the shelf today.",
+    "Why would they paint the kitchen green again?", " ".join(["word"] * 31), "!!! ??? ...", "",
+]
+
+
+def edge_seed(turn_col: str, id_col: str, text_col: str):
+    """A text for every row that meets a rule of the seed classifier."""
+    return _pick(F.col(id_col) * 3 + F.col(turn_col), [F.col(text_col), *[F.lit(x) for x in EDGE_SEEDS]])
+
+
+def _pick(number, choices):
+    slot = F.pmod(number, F.lit(len(choices)))
+    out = F.when(slot == 0, choices[0])
+    for i, c in enumerate(choices[1:], 1):
+        out = out.when(slot == i, c)
+    return out
+
+
 # ----------------------------------------------------- array sources ---
 
 def flatten_dialogue(df: DataFrame) -> DataFrame:

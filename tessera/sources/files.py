@@ -12,10 +12,23 @@ from ..sinks.writers import NESTED_SCHEMA
 
 def read_corpus_jsonl(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """S-8: nested corpus JSONL with a fixed schema.  ``strict`` fails on a
-    malformed line (the splitter); otherwise malformed lines are dropped
-    (the converter warns and skips)."""
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(NESTED_SCHEMA).option("mode", mode).json(path)
+    malformed line (the splitter); otherwise malformed lines are skipped (the
+    converter) -- ``malformed_lines`` counts them."""
+    if strict:
+        return spark.read.schema(NESTED_SCHEMA).option("mode", "FAILFAST").json(path)
+    return _parsed(spark, path).filter(F.col("j._corrupt").isNull()).select(*[F.col(f"j.{f.name}").alias(f.name) for f in NESTED_SCHEMA.fields])
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines, and malformed lines among them, per file."""
+    return _parsed(spark, path).groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("lines"), F.count("j._corrupt").alias("malformed"))
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*NESTED_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).select(F.col("_metadata.file_name").alias("file_name"), parsed.alias("j"))
 
 
 ADAPTER_FILE = T.StructType([
@@ -61,18 +74,33 @@ def read_adapter_json(spark: SparkSession, path: str, multi_line: bool = True) -
         "dtype")
 
 
+ARTIFACT_IDS = 1024
+
+
+def write_artifacts(vectors: DataFrame, path: str) -> None:
+    """One small file per ``ARTIFACT_IDS`` ids: eight bytes (little-endian) that
+    declare the length of the JSON text behind them.  Every fifth declares more
+    than there is."""
+    n = F.floor(F.col("vec_id") / ARTIFACT_IDS).cast("long")
+    rows = vectors.groupBy(n.alias("artifact")).agg(F.count(F.lit(1)).alias("n"))
+    body = F.to_json(F.struct(F.col("artifact").alias("part"), "n"))
+    declared = F.when(F.pmod("artifact", F.lit(5)) == 0, F.lit(120)).otherwise(F.length(body))
+    header = F.concat(F.char(declared), F.lit("\x00" * 7))
+    rows.select("artifact", F.concat(header, body).alias("value")).write.partitionBy("artifact").text(path)
+
+
 def artifact_audit(spark: SparkSession, path_glob: str) -> DataFrame:
     """S-10: size and declared header length of each artifact: the first 8
     bytes read as a little-endian unsigned integer; corrupt when the header
-    claims more bytes than the file has.  Only the first 8 bytes are used,
-    but the binary source loads whole files, so it is meant for artifact
-    folders, not table data."""
+    claims more bytes than the file has.  The binary source hands whole files
+    to a task, so it is meant for artifact folders, not table data."""
     files = spark.read.format("binaryFile").load(path_glob)
     hx = F.hex(F.substring(F.col("content"), 1, 8))
     le = F.concat(*[F.substring(hx, 2 * i + 1, 2) for i in range(7, -1, -1)])
     header = F.conv(le, 16, 10).cast("decimal(20,0)")
     return files.select(
+        "path",
         F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"),
         F.col("length").alias("size"),
-        F.when(F.col("length") >= 8, header).alias("header_len"),
+        F.when(F.col("length") >= 8, header).cast("long").alias("header_len"),
     ).withColumn("corrupt", F.coalesce(F.col("header_len") > F.col("size"), F.lit(True)))
