@@ -235,15 +235,13 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Predicted language and score of each text."""
-        if not texts:
-            return [], np.zeros(0)
+        if not texts or not self.langs:  # nothing to learn from
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         lists = pc.split_pattern(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), " ")
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         coded = lists.flatten().dictionary_encode()
         rows = self.unit_rows(coded.dictionary.to_pylist())
         total = np.add.reduceat(rows[coded.indices.to_numpy(zero_copy_only=False)], np.concatenate([[0], ends[:-1]]), axis=0)
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
         best = total[:, :-1].argmax(axis=1)
         share = 1.0 / np.exp(total[:, :-1] - total[np.arange(len(texts)), best][:, None]).sum(axis=1)
         some = total[:, -1] > 0
