@@ -187,3 +187,20 @@ def test_quality(docs_of):
     assert {r["doc_id"] for r in quality.quality_filter(docs_of(rows)).collect()} == kept
     assert quality.quality_filter(docs_of(rows)).columns == docs_of(rows).columns
     assert quality.judge(docs_of(rows).limit(0)).count() == 0
+
+
+def test_passages_at_low_similarity(docs_of):
+    """Pairs whose best ungapped stretch, by brute force, has 50 words at similarity 0.8 are found."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for n, step in enumerate([5, 6, 7, 8, 10, 20] * 4 + [0] * 12):
+        passage = words(rng, 60)
+        changed = set(range(step - 1, 60, step)) if step else set(rng.sample(range(60), rng.randrange(3, 13)))
+        other = ["changed" + str(rng.random()) if i in changed else w for i, w in enumerate(passage)]
+        rows += [(2 * n, " ".join(words(rng, 30) + passage + words(rng, 20))), (2 * n + 1, " ".join(words(rng, 40) + other + words(rng, 10)))]
+        equal = np.array([i not in changed for i in range(60)])
+        assert max(equal[a:b].mean() for a in range(11) for b in range(a + 50, 61)) >= passages.SIMILARITY
+        pairs.append((2 * n + 1, 2 * n))
+    out = {(r["doc_id"], r["of_doc"]): r for r in passages.repeated_passages(docs_of(rows)).collect()}
+    assert set(out) == set(pairs)
+    assert all(r["start_word"] >= 36 and r["end_word"] <= 104 and r["similarity"] >= passages.SIMILARITY for r in out.values())
