@@ -204,3 +204,21 @@ def test_passages_at_low_similarity(docs_of):
     out = {(r["doc_id"], r["of_doc"]): r for r in passages.repeated_passages(docs_of(rows)).collect()}
     assert set(out) == set(pairs)
     assert all(r["start_word"] >= 36 and r["end_word"] <= 104 and r["similarity"] >= passages.SIMILARITY for r in out.values())
+
+
+def test_passage_whose_parts_occur_earlier(docs_of):
+    """Documents that hold a part each, before the first and between both holders of the whole."""
+    rng = random.Random(13)
+    rows, pairs = [], set()
+    for n, sizes in enumerate([(30, 30)] * 5 + [(20, 20, 20)] * 5 + [(25, 25)] * 5 + [(38, 22)]):
+        parts = [words(rng, s) for s in sizes]
+        whole = [w for p in parts for w in p]
+        for i, p in enumerate(parts):
+            rows += [(20 * n + i, words(rng, 25) + p + words(rng, 30)), (20 * n + 11 + i, words(rng, 35) + p + words(rng, 30))]
+        rows += [(20 * n + 10, words(rng, 40) + whole + words(rng, 20)), (20 * n + 19, words(rng, 10) + whole + words(rng, 20))]
+        pairs.add((20 * n + 19, 20 * n + 10, 10, 10 + len(whole)))
+    docs = docs_of([(i, " ".join(w)) for i, w in rows])
+    out = passages.repeated_passages(docs).collect()
+    assert {(r["doc_id"], r["of_doc"], r["start_word"], r["end_word"]) for r in out} == pairs
+    kept = {r["doc_id"]: r["text"].split() for r in passages.drop_repeated(docs).collect()}
+    assert all(len(kept[doc]) == 30 for doc, _, _, _ in pairs) and all(kept[i] == w for i, w in rows if i % 20 != 19)
