@@ -17,7 +17,7 @@ small, whatever the number of pages.
 Text: character references are decoded, white space inside a block becomes one
 blank, blocks are trimmed and joined by two line feeds.  Null html counts as
 empty and gives an empty text.  Broken markup (missing end tags, cut-off pages)
-is repaired as browsers do for paragraphs, list items, cells and the like.
+is repaired as browsers do for heads, paragraphs, list items, cells and the like.
 Repeated rows, null ids and extra columns are allowed; an empty table gives an
 empty result.
 """
@@ -43,8 +43,10 @@ EDGE_SMOOTHING = 0.5
 LABELLED_WEIGHT = 20
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed template".split())
-SKIPPED = set("script style noscript iframe xmp noembed template head title meta link svg math object canvas".split())
+RAW = set("script style textarea title noscript iframe xmp noembed noframes template".split())
+SKIPPED = set("script style noscript iframe xmp noembed noframes template head title meta link svg canvas".split())
+#: Any other start tag, and text, ends an open head.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -85,6 +87,8 @@ def parse(page: str | None) -> Node:
         m = TOKEN.search(page, at)
         text = page[at:m.start()] if m else page[at:]
         if text:
+            if open_[-1].tag == "head" and text.strip():
+                open_.pop()
             open_[-1].children.append(text)
         if not m:
             break
@@ -102,8 +106,10 @@ def parse(page: str | None) -> Node:
                 if open_[i].tag in ("td", "th", "table", "article", "main", "body") and tag not in BLOCKS:
                     break
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in open_):
+        if tag in ("html", "body") and any(n.tag == tag for n in open_) or tag == "head" and len(open_) > 1:
             continue
+        if open_[-1].tag == "head" and tag not in IN_HEAD:
+            open_.pop()
         if tag in ENDS_P:
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == "p":

@@ -151,6 +151,25 @@ def test_main_text():
     assert isinstance(htmlmain.main_text(deep, model), str)
 
 
+def test_main_text_without_end_of_head():
+    model = model_of([])
+    line = "some sentence of the article that is long enough to stand. "
+    article = f"<article><h1>A</h1><p>{line * 3}</p><p>{line}</p></article>"
+    want = "A\n\n" + (line * 3).strip() + "\n\n" + line.strip()
+    head = "<!doctype html><html><head><meta charset=utf-8><title>not this</title><script>var a;</script><noframes><p>nor this</p></noframes>\n<link rel=x href=y>"
+    for between in ("</head><body>", "<body>", "<body class=x>", "", "</head>", "<div>", "<body><head>"):
+        assert htmlmain.main_text(f"{head}{between}{article}", model) == want, between
+    tree = htmlmain.parse("<head><title>t</title> words <b>and</b> more")
+    assert [c if isinstance(c, str) else c.tag for c in tree.children] == ["head", " words ", "b", " more"]
+
+
+def test_main_text_has_math_and_objects():
+    model = model_of([])
+    line = "some sentence of the article that is long enough to stand. "
+    page = f"<html><body><article><h1>A</h1><p>{line * 3}so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><p>{line}<object data=f.swf>a <b>plan</b> of it</object></p></article></body></html>"
+    assert htmlmain.main_text(page, model) == f"A\n\n{line * 3}so x=2 holds.\n\n{line}a plan of it"
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = htmlmain.extract(pages).collect()
