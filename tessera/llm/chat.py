@@ -190,7 +190,8 @@ def fit(conversations: DataFrame, sample: int = SAMPLE, held_out: Column | None
 
 def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample: int = SAMPLE) -> DataFrame:
     """A row per recovered turn: ``conv_id, first_turn`` and ``first_line`` (where
-    it begins), ``n_lines, role, text`` (without speaker markers) and ``rendered``."""
+    it begins; blank lines do not count), ``n_lines, role, text`` (whole, with its blank lines, but without the
+    marker that starts the turn) and ``rendered``."""
     counts = fit(conversations, sample) if counts is None else counts
     model_of = conversations.sparkSession.sparkContext.broadcast(counts)  # states and buckets
     conv = conversations.schema["conv_id"].dataType.simpleString()
@@ -249,17 +250,30 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
             before, end = rows[0][5], rows[0][6]
             lines, where = [], []
             for row in rows:
-                kept = [x for x in (row[3] or "").split("\n") if x.strip()]
                 lines += seen(row[3], not lines and before is None)
-                where += [(row[4], j, split_marker(x)[1]) for j, x in enumerate(kept)]
+                blank, j = [], 0
+                for x in (row[3] or "").split("\n"):
+                    if x.strip():
+                        where.append((row[4], j, x, blank))
+                        blank, j = [], j + 1
+                    else:
+                        blank.append(x)
+                if j:  # blank lines at a message's end
+                    where[-1] += (blank,)
             current: list = []
-            for state, (turn, j, line) in zip(model.viterbi(lines, before, end), where):
+            for state, (turn, j, line, above, *below) in zip(model.viterbi(lines, before, end), where):
                 role, start = STATES[state]
                 if start or not current:
+                    if current and j:  # blank lines between two turns of a message belong to the first
+                        current[5] += above
+                        above = []
                     current = [conv_id, turn, j, 0, role, []]
                     out.append(current)
+                own = [line]
+                if start and split_marker(line)[0] == role:  # a marker elsewhere is a part of the text
+                    own = [x for x in (split_marker(line)[1],) if x]
                 current[3] += 1
-                current[5].append(line)
+                current[5] += [*above, *own, *(below[0] if below else [])]
             if len(out) >= 4096:
                 yield _turns(out, conv)
                 out = []
@@ -273,7 +287,7 @@ KIND = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def _turns(out: list[list], conv: str) -> pa.RecordBatch:
-    texts = ["\n".join(x for x in r[5] if x.strip()) for r in out]
+    texts = ["\n".join(r[5]) for r in out]
     columns = [[r[i] for r in out] for i in range(5)] + [texts, [render(r[4], t) for r, t in zip(out, texts)]]
     kinds = [KIND[conv], pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "first_turn", "first_line", "n_lines", "role", "text", "rendered"])

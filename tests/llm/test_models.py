@@ -99,6 +99,22 @@ def test_chat_markers_and_edges(spark):
     assert not [r for r in out if r["conv_id"] == 2] and chat.parse(conv.limit(0)).count() == 0
 
 
+def test_chat_keeps_whole_texts(spark):
+    bodies = ["Where is it?\n\nA: Paris, as I said\nAnswer: 42 of them\n    indented code\n\n\nContext: the year 1900\nyou\ncontext\nModel: y", "\nfirst line after a blank\nsecond line\n", "It is there.\nagent\n\nUser: is a word here"]
+    rng = random.Random(14)
+    line = lambda: " ".join(["word"] * rng.choice((1, 1, 2, 4, 6))) + rng.choice("?.:, ").strip()
+    train = [(i, t, ("user", "assistant")[t % 2], "\n".join(line() for _ in range(rng.randrange(2, 10)))) for i in range(300) for t in range(4)]
+    conv = spark.createDataFrame(train, "conv_id long, turn long, role string, text string")
+    counts = chat.fit(conv)
+    rows = [(i, t, None, b) for i, b in enumerate(bodies) for t in range(2)] + [(9, 0, None, "User: what\n\nis it?"), (9, 1, None, "### Assistant\na thing.\n")]
+    out = chat.parse(spark.createDataFrame(rows, conv.schema), counts).collect()
+    got = {(r["conv_id"], r["first_turn"]): r["text"] for r in out}
+    assert len(out) == len(got) == len(rows)
+    assert all(got[i, t] == b for i, t, _, b in rows if i < 9)
+    assert (got[9, 0], got[9, 1]) == ("what\n\nis it?", "a thing.\n")
+    assert all(r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>" for r in out)
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)], 0) for i in range(300)]
