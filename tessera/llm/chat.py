@@ -12,7 +12,8 @@ The probabilities are counted from labelled turns: a bounded sample of about
 the blank line between messages, so roles need not be marked in the text; roles
 of the rows that are parsed are never read.
 
-A conversation of any length is parsed in chunks of ``CHUNK`` turns.  A chunk
+A conversation of any length is parsed in chunks of at most ``CHUNK`` rows, counted
+in their order and not by their turn numbers.  A chunk
 alone gives, for each state before it (or none), the best score of each state at its end;
 the chunks of a long conversation are joined over these small tables, and each
 chunk is then decoded between its fixed ends.  So no task holds more than one
@@ -32,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +139,38 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>"
 
 
-def _chunks(conversations: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with their chunk's number, a chunk's rows side by side and in order."""
+def _numbered(conversations: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Rows with ``_chunk``, written once: the ordered rows are cut into ranges and, within
+    one, each conversation's rows into chunks of ``CHUNK``, whatever their turns are."""
+    conv, size = conversations.schema["conv_id"].dataType.simpleString(), CHUNK
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40)))
-    d = conversations.select("conv_id", turn.alias("_turn"), F.floor(turn / CHUNK).cast("long").alias("_chunk"), "text", *columns)
-    return d.repartition("conv_id", "_chunk").sortWithinPartitions("conv_id", "_chunk", "_turn", "text")
+    # the last column deals out repeated rows
+    order = ["conv_id", "_turn", "text", "_row"]
+    d = conversations.select("conv_id", turn.alias("_turn"), F.col("turn").cast("long").alias("turn"), "text", *columns).withColumn("_row", F.monotonically_increasing_id())
+    names = ["conv_id", "_turn", "turn", "text", *columns]
+    d = d.repartitionByRange(*order).sortWithinPartitions(*order).select(*names)
+
+    def number(batches):
+        base, last, n = TaskContext.get().partitionId() << 32, None, 0
+        for batch in batches:
+            chunks = []
+            for key in batch.column(0).to_pylist():
+                n = n + 1 if last == (key,) else 0
+                last = (key,)
+                chunks.append(base + n // size)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64())], names=[*names, "_chunk"])
+
+    return saved(map_arrow(d, number, f"conv_id {conv}, _turn bigint, turn bigint, text string, {''.join(f'{c} string, ' for c in columns)}_chunk bigint"), name)
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """First and last chunk of each conversation."""
+    return rows.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("_chunk").alias("_a"), F.max("_chunk").alias("_b"))
+
+
+def _chunks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbered rows, a chunk's rows side by side and in order."""
+    return rows.repartition("conv_id", "_chunk").sortWithinPartitions("conv_id", "_chunk", "_turn", "text").select("conv_id", "_chunk", *columns)
 
 
 def _groups(batches, n_key: int):
@@ -168,16 +197,19 @@ def fit(conversations: DataFrame, sample: int = SAMPLE, held_out: Column | None
     chosen = conversations.where(_sampled(conversations, sample) & F.col("role").isin(*ROLES))
     if held_out is not None:
         chosen = chosen.where(~held_out)
-    d = _chunks(chosen, ["role"]).select("conv_id", "_chunk", "_turn", "text", "role")
+    rows = _numbered(chosen, ["role"], "chat-sample")
+    ends = _ends(rows)
+    d = rows.join(ends, rows["conv_id"].eqNullSafe(ends["_conv"])).withColumn("_head", F.col("_chunk") == F.col("_a"))
+    d = _chunks(d, ["_head", "text", "role"])
 
     def count(batches):
         found: Counter = Counter()
-        for (_, chunk), rows in _groups(batches, 2):
+        for _, rows in _groups(batches, 2):
             state = None
-            for _, _, _, text, role in rows:
-                for j, what in enumerate(seen(text, state is None and chunk <= 0)):
+            for _, _, head, text, role in rows:
+                for j, what in enumerate(seen(text, state is None and head)):
                     new = STATES.index((role, j == 0))
-                    if state is not None or chunk <= 0:
+                    if state is not None or head:
                         found[f"t={'' if state is None else state}>{new}"] += 1
                     for name, value in zip(("gap", "size", "end", "far"), what[1:]):
                         found[f"{name}={new}={value}"] += 1
@@ -195,10 +227,8 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
     counts = fit(conversations, sample) if counts is None else counts
     model_of = conversations.sparkSession.sparkContext.broadcast(counts)  # states and buckets
     conv = conversations.schema["conv_id"].dataType.simpleString()
-    d = saved(conversations.select("conv_id", "turn", "text"), "chat")
-    # chunks of conversations that have more than one
-    several = d.groupBy("conv_id").agg(F.min(F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / CHUNK)).alias("_a"), F.max(F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / CHUNK)).alias("_b")).where("_a < _b")
-    several = several.select(F.col("conv_id").alias("_conv"), F.col("_a").cast("long").alias("_first"))
+    d = _numbered(conversations, [], "chat")
+    several = _ends(d).where("_a < _b").select("_conv")  # conversations of more than one chunk
     long_rows = d.join(several, d["conv_id"].eqNullSafe(several["_conv"]), "left_semi")
 
     def tables(batches):
@@ -207,8 +237,8 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
         for (conv_id, chunk), rows in _groups(batches, 2):
             lines, first = [], []
             for r in rows:
-                first += seen(r[3], not first)
-                lines += seen(r[3], False)
+                first += seen(r[2], not first)
+                lines += seen(r[2], False)
             if lines:
                 head = model.start + model.emit(first[0])
                 if len(lines) > 1:
@@ -237,11 +267,10 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
         columns = list(zip(*out)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [KIND[conv], pa.int64(), pa.int32(), pa.int32()])], names=["_conv", "_c", "_before", "_end"])
 
-    small = map_arrow(_chunks(long_rows, []).select("conv_id", "_chunk", "_turn", "text"), tables, f"conv_id {conv}, _chunk bigint, best array<double>")
+    small = map_arrow(_chunks(long_rows, ["text"]), tables, f"conv_id {conv}, _chunk bigint, best array<double>")
     ends = saved(map_arrow(small.repartition("conv_id").sortWithinPartitions("conv_id", "_chunk"), join, f"_conv {conv}, _c bigint, _before int, _end int"), "chat-ends")
-    chunked = d.withColumn("_t", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40)))).withColumn("_k", F.floor(F.col("_t") / CHUNK).cast("long"))
-    chunked = chunked.join(ends, chunked["conv_id"].eqNullSafe(ends["_conv"]) & (chunked["_k"] == ends["_c"]), "left")
-    ready = chunked.repartition("conv_id", "_k").sortWithinPartitions("conv_id", "_k", "_t", "text").select("conv_id", "_k", "_t", "text", "turn", "_before", "_end")
+    chunked = d.join(ends, d["conv_id"].eqNullSafe(ends["_conv"]) & (d["_chunk"] == ends["_c"]), "left")
+    ready = _chunks(chunked, ["_turn", "text", "turn", "_before", "_end"])
 
     def decode(batches):
         model = Model(model_of.value)

@@ -115,6 +115,23 @@ def test_chat_keeps_whole_texts(spark):
     assert all(r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>" for r in out)
 
 
+def test_chat_chunks_are_bounded(spark, monkeypatch):
+    """Rows without turns, or with one turn number, are cut into chunks too, and the parse is that of one chunk."""
+    rows = [(None, None, ("user", "assistant")[i % 2], f"{i:04d} some words" + "?" * (i % 2)) for i in range(60)]
+    rows += [(1, 7, None, f"{i:04d} some words" + "?" * (i % 2)) for i in range(60)] + [(2, i, None, "one and the same") for i in range(3)] + [(3, 0, None, "one and the same")] * 60
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    counts = chat.fit(conv)
+    out = lambda: sorted((str(r["conv_id"]), r["text"].split("\n")[0], r["role"]) for r in chat.parse(conv, counts).collect())
+    whole = out()
+    monkeypatch.setattr(chat, "CHUNK", 8)
+    numbered = chat._numbered(conv, [], "chat-test")
+    sizes = [r["count"] for r in numbered.groupBy("conv_id", "_chunk").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 8
+    cut = [r for r in numbered.where("conv_id = 1").orderBy("_chunk", "text").collect()]
+    assert [r["text"] for r in cut] == sorted(r["text"] for r in cut)
+    assert out() == whole and "t=>2" in chat.fit(conv)
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)], 0) for i in range(300)]
