@@ -454,11 +454,12 @@ def corpus_export_roundtrip(spark, sf_dir):
 @register("seed_file_scan")
 def seed_file_scan(spark, sf_dir):
     """K-7 + S-7 + W-3 + Q-14: write the accepted seeds as JSONL and as plain
-    text lines, then load them back (first 5000 lines per file)."""
+    text lines, then load them back (first 5000 lines per file; no file is
+    written with more, so every seed comes back)."""
     seeds = SD.seed_rows(_seed_classified(spark, sf_dir))
     base = scratch_path(spark, "seeds")
-    K.write_jsonl(seeds.drop("conv_id", "turn"), f"{base}/jsonl")
-    seeds.select("utterance").write.text(f"{base}/text")
+    K.write_jsonl(seeds.drop("conv_id", "turn"), f"{base}/jsonl", max_per_file=C.LOADER_MAX_LINES_PER_FILE)
+    seeds.select("utterance").write.option("maxRecordsPerFile", C.LOADER_MAX_LINES_PER_FILE).text(f"{base}/text")
     return SD.read_seed_lines(spark, [f"{base}/jsonl", f"{base}/text"]).select("seed")
 
 

@@ -87,9 +87,9 @@ def write_shards(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.hint("rebalance", F.col("bucket")).write.mode(mode).partitionBy("bucket").json(path)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K-7: seeds, prompt/completion rows."""
-    df.write.mode(mode).json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", max_per_file: int = 0) -> None:
+    """K-7: seeds, prompt/completion rows; ``max_per_file`` lines in a file at most (0: no limit)."""
+    df.write.mode(mode).option("maxRecordsPerFile", max_per_file).json(path)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -51,3 +51,15 @@ def test_seed_loader_window(spark, tmp_path):
     got = sorted(len(r["seed"].split()) for r in SD.read_seed_lines(spark, str(tmp_path / "s.txt")).collect())
     assert got == [9, 10, 29]
     assert SD.read_seed_lines(spark, str(tmp_path / "s.txt"), max_per_file=2).count() == 1
+
+
+def test_seed_file_scan_returns_every_seed(spark, monkeypatch):
+    """More seeds in one write partition than a file's lines that are read."""
+    from tessera.plans import catalog
+
+    seeds = spark.range(12_000).coalesce(1).selectExpr(
+        "id AS conv_id", "id AS turn", "concat('seed number ', id, ' has a few more words in its line') AS utterance", "'joy' AS emotion")
+    monkeypatch.setattr(catalog, "_seed_classified", lambda *a: None)
+    monkeypatch.setattr(catalog.SD, "seed_rows", lambda *a: seeds)
+    out = catalog.seed_file_scan(spark, None)
+    assert out.count() == 24_000 and out.distinct().count() == 12_000
