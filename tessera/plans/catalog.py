@@ -494,16 +494,25 @@ def adapter_json_ingest(spark, sf_dir):
     return FS.read_adapter_json(spark, path, multi_line=False)
 
 
+#: Parts that the responses of ``fill_stream`` arrive in.
+FILL_BATCHES = 4
+
+
 @register("fill_stream")
 def fill_stream(spark, sf_dir):
     """D-5 micro-batch form: responses arrive as a file stream and fill empty
-    buckets through ``foreachBatch``."""
+    buckets through ``foreachBatch``.  They come in ``FILL_BATCHES`` parts by
+    ranges of node, each a micro-batch after the one before, so the result is
+    that of one pass in candidate order."""
     base = scratch_path(spark, "fill-stream")
     cand = _candidates(spark, sf_dir)
-    cand.write.parquet(f"{base}/incoming")
-    stream = spark.readStream.schema(cand.schema).parquet(f"{base}/incoming")
-    q = ST.start_fill(spark, stream, f"{base}/shards", f"{base}/bands", f"{base}/checkpoint")
-    q.awaitTermination()
+    cuts = cand.approxQuantile("node", [i / FILL_BATCHES for i in range(1, FILL_BATCHES)], 0.01)
+    part = sum((F.when(F.col("node") > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(FILL_BATCHES):
+        cand.filter(part == i).write.mode("append").parquet(f"{base}/incoming")
+        stream = spark.readStream.schema(cand.schema).parquet(f"{base}/incoming")
+        q = ST.start_fill(spark, stream, f"{base}/shards", f"{base}/bands", f"{base}/checkpoint")
+        q.awaitTermination()
     return K.flat_synthetic(ST.read_shards(spark, f"{base}/shards"))
 
 

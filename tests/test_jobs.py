@@ -135,3 +135,30 @@ def test_registry_audit_and_unfinished(spark):
 
 def test_every_bucket_listed():
     assert jobs.list_traits() == list(C.BUCKETS) and len(M.__doc__) > 0
+
+
+def test_fill_stream_query_has_several_batches(spark, monkeypatch):
+    """The registered query fills across micro-batches and gives what one pass in order does."""
+    from tessera.functions import constants as C
+    from tessera.operators import dedup as D
+    from tessera.plans import catalog
+
+    buckets = C.BUCKETS[:2]
+    texts = [f"text {i % 40} says something about place {i % 40} and person {i % 40}" for i in range(160)]
+    cand = spark.createDataFrame([(i, buckets[i % 2], t, f"seed {i}") for i, t in enumerate(texts)], "node long, bucket string, text string, seed string")
+    monkeypatch.setattr(catalog, "_candidates", lambda *a: cand)
+    sizes, make = [], ST.make_batch_writer
+
+    def counted(spark, shards, bands, target, run):
+        write = make(spark, shards, bands, 15, run)
+
+        def one(batch, epoch):
+            sizes.append(batch.count())
+            write(batch, epoch)
+        return one
+    monkeypatch.setattr(ST, "make_batch_writer", counted)
+    out = sorted(r["original_seed"] for r in catalog.fill_stream(spark, None).collect())
+    needs = spark.createDataFrame([(b, 15) for b in buckets], "bucket string, need int")
+    want = D.fill_to_target(cand, cand.select("bucket", "text").limit(0), needs)
+    assert len([n for n in sizes if n]) == 4 and sum(sizes) == 160
+    assert out == sorted(r["seed"] for r in want.collect()) and len(out) == 30
