@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe, chat, htmlmain, huffman, langid, mixing, passages, quality, simhash, topk
+from . import bpe, chat, htmlmain, huffman, langid, mixing, passages, quality, simhash, topk, vectorcodes
 from .common import read_table
 from .sql import SQL  # noqa: F401  (re-exported)
 
@@ -54,4 +54,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(read_table(spark, sf_dir, "pages"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op6_chat, op7_passages, op8_quality, op9_topk, op10_main_text)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op6_chat, op7_passages, op8_quality, op9_topk, op10_main_text,
+    op11_vector_codes)}

@@ -99,4 +99,36 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY rank <= 5
 """
 
-SQL = {"op5_mixing": MIXING, "op8_quality": QUALITY, "op9_topk": TOP_K}
+
+
+def _vector_codes(rounds: int = 6) -> str:
+    """Rounds of nearest entries and floored means, one pair of tables each."""
+    near = """at{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, v, k, d FROM (
+    SELECT a.vec_id, a.label, a.p, a.v, b.k, list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, len(a.v) + 1)])::BIGINT AS d
+    FROM parts a JOIN book{r} b ON b.p = a.p)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) = 1)"""
+    mean = """book{n} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN (
+    SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v
+    FROM (SELECT p, k, i, sum(x)::BIGINT AS s, count(*) AS n
+          FROM (SELECT p, k, unnest(v) AS x, unnest(range(len(v))) AS i FROM at{r}) GROUP BY p, k, i)
+    GROUP BY p, k) m ON m.p = b.p AND m.k = b.k)"""
+    steps = [x.format(r=r, n=r + 1) for r in range(rounds) for x in (near, mean)] + [near.format(r=rounds)]
+    return """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, e[p * (len(e) // 8) + 1 : (p + 1) * (len(e) // 8)] AS v FROM (SELECT *, unnest(range(8)) AS p FROM kept)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, v FROM parts QUALIFY k < 16),
+""" + ",\n".join(steps) + f"""
+SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error,
+       (sum(sum(d)) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, k)) FROM book{rounds}) AS codebooks_sha256
+FROM at{rounds} GROUP BY vec_id, label
+"""
+
+
+SQL = {"op5_mixing": MIXING, "op8_quality": QUALITY, "op9_topk": TOP_K, "op11_vector_codes": _vector_codes()}
