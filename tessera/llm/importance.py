@@ -39,11 +39,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, ship_package, slices
+from .common import saved, ship_package, slices, with_rank
 
 NGRAM = 1
 BUCKETS = 10_000
@@ -194,20 +194,6 @@ def noise(name: str, salt: str = SALT) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """``df`` and ``rank`` (from 1) by ``order``: rows are sorted in ranges, written, and numbered by the sizes of the ranges before theirs."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order) \
-        .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = saved(placed, name)
-    sizes = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for part, n in sizes:
-        starts.append((part, total))
-        total += n
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
-    return placed.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_start") + F.col("_at") + 1).drop("_part", "_start", "_at")
-
-
 def scored(docs: DataFrame, target: DataFrame, keep: list[str], ngram: int = NGRAM, buckets: int = BUCKETS, percent: int = PERCENT,
            least_words: int = LEAST_WORDS, salt: str = SALT, head: int = HEAD) -> DataFrame:
     """``row`` (a struct of the columns ``keep``) ``, n_features, weight, score, rank`` of every document; undrawn ranks are null."""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as tokenizer_path
 
-from . import bpe, chat, htmlmain, huffman, importance, langid, mixing, passages, quality, simhash, topk, vectorcodes
+from . import bpe, chat, htmlmain, huffman, importance, jaccard, langid, mixing, passages, quality, simhash, topk, vectorcodes
 from .common import read_table
 from .sql import SQL  # noqa: F401  (re-exported)
 
@@ -62,6 +62,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_token_files, op2_bpe, op3_language, op4_simhash, op5_mixing, op6_chat, op7_passages, op8_quality, op9_topk, op10_main_text,
-    op11_vector_codes, op12_importance)}
+    op11_vector_codes, op12_importance, op13_jaccard)}

@@ -131,4 +131,20 @@ FROM at{rounds} GROUP BY vec_id, label
 """
 
 
-SQL = {"op5_mixing": MIXING, "op8_quality": QUALITY, "op9_topk": TOP_K, "op11_vector_codes": _vector_codes()}
+JACCARD = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                      ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END)) AS g FROM d),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT c.x, c.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) c
+  JOIN n p ON p.doc_id = c.x JOIN n q ON q.doc_id = c.y WHERE 100 * c.c >= 80 * (p.n + q.n - c.c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) m USING (doc_id)
+"""
+
+SQL = {"op5_mixing": MIXING, "op8_quality": QUALITY, "op9_topk": TOP_K, "op11_vector_codes": _vector_codes(), "op13_jaccard": JACCARD}
