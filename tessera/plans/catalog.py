@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import dedup as D
+from ..operators import exact as EX
 from ..operators import label as L
 from ..operators import seeds as SD
 from ..operators import shards as B
@@ -282,6 +283,47 @@ def greedy_dedup(spark, sf_dir):
     return verdict.select(F.col("node").alias("doc_id"), "accepted")
 
 
+def _build_sets(spark, sf_dir):
+    return EX.shingle_sets(A.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _shingle_sets(spark, sf_dir):
+    return stored(spark, sf_dir, "shingle-sets", ["documents"], _build_sets)
+
+
+def _build_links(spark, sf_dir):
+    return EX.links(_shingle_sets(spark, sf_dir))
+
+
+def _class_links(spark, sf_dir):
+    return stored(spark, sf_dir, "class-links", ["documents"], _build_links)
+
+
+@register("near_dup_classes")
+def near_dup_classes(spark, sf_dir):
+    """D-6: the class of each document, all documents of one shingle set."""
+    return EX.classes(_shingle_sets(spark, sf_dir)).select(F.col("node").alias("doc_id"), "class_id", "class_size", F.col("n").alias("n_shingles"))
+
+
+@register("near_dup_links")
+def near_dup_links(spark, sf_dir):
+    """D-6: exact links at the threshold, between class representatives."""
+    return _class_links(spark, sf_dir)
+
+
+@register("near_dup_verified")
+def near_dup_verified(spark, sf_dir):
+    """D-3: each candidate of the bands with its exact similarity."""
+    return EX.verified(_doc_members(spark, sf_dir), _shingle_sets(spark, sf_dir)).withColumnRenamed("node", "doc_id")
+
+
+@register("lsh_quality")
+def lsh_quality(spark, sf_dir):
+    """False positives of the bands, and their recall of the exact links."""
+    checked = EX.verified(_doc_members(spark, sf_dir), _shingle_sets(spark, sf_dir))
+    return EX.band_quality(_doc_members(spark, sf_dir), checked, _class_links(spark, sf_dir))
+
+
 def _candidates(spark, sf_dir):
     """Documents stand in for paraphrase responses: bucket by doc_id, the
     original seed by id."""

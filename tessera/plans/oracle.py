@@ -162,6 +162,26 @@ band_min AS (SELECT band_key, min(node) AS band_min FROM bands GROUP BY band_key
 SELECT b.node AS doc_id, coalesce(min(CASE WHEN m.band_min < b.node THEN m.band_min END), -1) AS earliest_partner
 FROM bands b JOIN band_min m ON b.band_key = m.band_key GROUP BY b.node""")
 
+_SETS = B.shingle_set_ctes()
+_LINKS = _SETS + B.link_ctes(85)
+SQL["near_dup_classes"] = _w(_SETS, "SELECT node AS doc_id, class_id, class_size, n AS n_shingles FROM classes")
+SQL["near_dup_links"] = _w(_LINKS, "SELECT class_id, partner_id, n_class, n_partner, shared FROM links")
+_CHECKED = """,
+band_least AS (SELECT band_key, min(node) AS partner FROM bands GROUP BY band_key),
+cand AS (SELECT b.node, m.partner, count(*) AS bands FROM bands b JOIN band_least m ON m.band_key = b.band_key AND m.partner < b.node GROUP BY ALL),
+checked AS (
+  SELECT c.*, CAST(len(list_intersect(p.s, q.s)) AS BIGINT) AS shared, p.n + q.n - len(list_intersect(p.s, q.s)) AS union_size
+  FROM cand c JOIN sets p ON p.node = c.node JOIN sets q ON q.node = c.partner),
+judged AS (SELECT node, partner, bands, shared, CAST(union_size AS BIGINT) AS union_size, union_size > 0 AND 100 * shared >= 85 * union_size AS verified FROM checked)"""
+SQL["near_dup_verified"] = _w(_SETS + "," + MINHASH, _CHECKED + "\nSELECT node AS doc_id, partner, bands, shared, union_size, verified FROM judged")
+SQL["lsh_quality"] = _w(_LINKS + "," + MINHASH, _CHECKED + """,
+met AS (SELECT DISTINCT l.class_id, l.partner_id FROM links l JOIN bands a ON a.node = l.class_id JOIN bands b ON b.node = l.partner_id AND b.band_key = a.band_key),
+c AS (SELECT count(*) AS candidates, count(*) FILTER (WHERE verified) AS true_candidates FROM judged),
+e AS (SELECT (SELECT count(*) FROM links) AS exact_links, (SELECT count(*) FROM met) AS found_links)
+SELECT candidates, true_candidates, candidates - true_candidates AS false_positives, exact_links, found_links,
+       round(CASE WHEN exact_links = 0 THEN 1.0 ELSE found_links::DOUBLE / exact_links END, 6) AS recall
+FROM c, e""")
+
 _SHARED = """,
 shared_bands AS (SELECT grp, band_key FROM members GROUP BY grp, band_key HAVING count(*) > 1),
 chosen AS (SELECT DISTINCT m.grp, m.node, m.band_key FROM members m SEMI JOIN shared_bands s ON s.grp = m.grp AND s.band_key = m.band_key),"""

@@ -446,6 +446,29 @@ def minhash_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str
 {prefix}bands AS ({band_sel})"""
 
 
+def shingle_set_ctes(table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
+    """``sets`` (node, s, n): sorted distinct word triples; ``classes``: documents of one set."""
+    return f"""
+set_toks AS (SELECT {id_col} AS node, regexp_extract_all(lower({text_col}), '{NON_WS}+') AS t FROM {table}),
+sets AS MATERIALIZED (
+  SELECT node, s, len(s) AS n FROM (
+    SELECT node, CASE WHEN len(t) >= 3 THEN list_sort(list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] FOR i IN range(1, len(t) - 1)])) ELSE [] END AS s
+    FROM set_toks)),
+classes AS MATERIALIZED (
+  SELECT node, CASE WHEN n = 0 THEN node ELSE min(node) OVER (PARTITION BY s) END AS class_id,
+         CASE WHEN n = 0 THEN 1 ELSE count(*) OVER (PARTITION BY s) END AS class_size, n FROM sets)"""
+
+
+def link_ctes(percent: int) -> str:
+    """``links`` between classes, by joining all their shingles."""
+    return f""",
+class_shingles AS MATERIALIZED (SELECT s.node, s.n, unnest(s.s) AS g FROM sets s JOIN classes c ON c.node = s.node AND c.class_id = s.node),
+common_shingles AS (
+  SELECT a.node AS class_id, b.node AS partner_id, a.n AS n_class, b.n AS n_partner, count(*) AS shared
+  FROM class_shingles a JOIN class_shingles b ON b.g = a.g AND a.node < b.node GROUP BY ALL),
+links AS (SELECT * FROM common_shingles WHERE 100 * shared >= {percent} * (n_class + n_partner - shared))"""
+
+
 def greedy_ctes(members: str) -> str:
     """Sequential greedy acceptance over ``members`` (grp, node, band_key), a
     step for each node in order; ``pre`` (grp, band_key) is indexed from the
