@@ -345,3 +345,10 @@ ALPHABETICAL_EMOTIONS = sorted(EMOTIONS)
 def sparse_to_dense(scores: dict) -> list[float]:
     """Sparse trait map -> dense list in TRAITS order (missing = 0.0)."""
     return [float(scores.get(t, 0.0)) for t in TRAITS]
+
+# Configuration that an adapter without it gets.
+ADAPTER_DEFAULTS = {
+    "peft_type": "LORA",
+    "task_type": "CAUSAL_LM",
+    "base_model_name_or_path": "meta-llama/Llama-3.1-8B-Instruct",
+}

@@ -536,6 +536,66 @@ def adapter_json_ingest(spark, sf_dir):
     return FS.read_adapter_json(spark, path, multi_line=False)
 
 
+def _build_adapter_files(spark, sf_dir):
+    """Adapter documents from the vectors, eight tensors each: plain lists, dicts
+    with ``data`` or ``values``, flat or two-dimensional, in three types; values
+    of all magnitudes and exact ties; every seventh adapter has a tensor whose
+    shape is wrong, every third brings configuration of its own."""
+    k = F.pmod("vec_id", F.lit(8)).cast("int")
+    adapter = F.floor(F.col("vec_id") / 8).cast("long")
+    sized = lambda x, n: 1 + (F.pmod(F.floor(F.abs(x) * 4096), F.lit(n)) + 0.5) / n
+
+    def value(x, i):
+        x = x.cast("double")
+        return (F.when(i == 61, x * 1e-39).when(i == 62, F.signum(x) * 3.4e38)
+                .when(i % 5 == 1, x * 1e-6).when(i % 5 == 2, x * 1e6).when(i % 5 == 3, sized(x, 1024)).when(i % 5 == 4, sized(x, 128)).otherwise(x))
+
+    emb = _emb(spark, sf_dir).select("vec_id", adapter.alias("a"), k.alias("k"), F.transform("embedding", value).alias("v"))
+    n = F.size("v")
+    wrong = (F.col("a") % 7 == 0) & (F.col("k") == 4)
+    shape = F.array((n + F.when(wrong, 1).otherwise(0)).cast("long"))
+    two_d = F.array(F.slice("v", F.lit(1), F.floor(n / 2).cast("int")), F.slice("v", F.floor(n / 2).cast("int") + 1, F.floor(n / 2).cast("int")))
+    dtype = F.when(F.col("k").isin(2, 3), "float16").when(F.col("k").isin(4, 5), "bfloat16").otherwise("float32")
+    entry = (F.when(F.col("k") < 2, F.to_json("v"))
+             .when(F.col("k") < 6, F.to_json(F.struct(F.col("v").alias("data"), shape.alias("shape"), dtype.alias("dtype"))))
+             .when(F.col("k") == 6, F.to_json(F.struct(two_d.alias("values"), F.array(F.lit(2), F.floor(n / 2)).alias("shape"))))
+             .otherwise(F.to_json(F.struct(F.col("v").alias("data")))))
+    key = F.concat(F.lit("t"), F.col("k").cast("string"))
+    docs = emb.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct(key, entry.alias("entry")))).alias("state_dict"))
+    name = F.concat(F.lit("adapter_"), F.col("a").cast("string"))
+    metadata = F.when(F.col("a") % 3 == 0, F.create_map(F.lit("name"), name, F.lit("peft_type"), F.lit("OTHER"), F.lit("rank"), F.col("a").cast("string"))) \
+        .otherwise(F.create_map(F.lit("name"), name))
+    return docs.select(F.to_json(F.struct(metadata.alias("metadata"), "state_dict")).alias("value"))
+
+
+def _adapter_files(spark, sf_dir):
+    path = scratch_path(spark, "adapter-files")
+    stored(spark, sf_dir, "adapter-files", ["embeddings"], _build_adapter_files).write.text(path)
+    return path
+
+
+@register("adapter_half_ingest")
+def adapter_half_ingest(spark, sf_dir):
+    """S-9: values as their tensor types hold them; ``infinite`` is the sign of those that overflow."""
+    t = FS.read_adapter_json(spark, _adapter_files(spark, sf_dir), multi_line=False)
+    inf = F.abs("value") == float("inf")
+    return t.select("adapter", "tensor_key", "pos", "dtype", F.when(~inf, F.col("value")).alias("value"), F.when(inf, F.signum("value")).otherwise(0.0).cast("int").alias("infinite"))
+
+
+@register("adapter_tensor_audit")
+def adapter_tensor_audit(spark, sf_dir):
+    """S-9: each tensor's values against its declared shape."""
+    t = FS.read_adapter_tensors(spark, _adapter_files(spark, sf_dir), multi_line=False)
+    return t.select("adapter", "tensor_key", "dtype", F.size("values").cast("long").alias("n"), F.coalesce(F.size("shape"), F.lit(0)).cast("int").alias("dims"), "shape_ok")
+
+
+@register("adapter_configs")
+def adapter_configs(spark, sf_dir):
+    """S-9: metadata with the defaults merged in."""
+    c = FS.read_adapter_configs(spark, _adapter_files(spark, sf_dir), multi_line=False)
+    return c.select("adapter", *[F.col("config")[k].alias(k) for k in [*C.ADAPTER_DEFAULTS, "rank"]], F.size("config").cast("long").alias("n_keys"))
+
+
 #: Parts that the responses of ``fill_stream`` arrive in.
 FILL_BATCHES = 4
 

@@ -350,4 +350,40 @@ SQL["vector_blend"] = _w(_T, f"""
 SELECT tensor_key, pos, round(sum({B.d(C.ADAPTER_BLEND_WEIGHT)} * value), 6) AS value, count(*) AS n_adapters
 FROM tensors GROUP BY tensor_key, pos""")
 
+_HALF = """
+raw AS (
+  SELECT vec_id // 8 AS a, vec_id % 8 AS k, CAST(unnest(range(0, len(embedding))) AS BIGINT) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x, len(embedding) AS n
+  FROM embeddings),
+vals AS (
+  SELECT 'adapter_' || a AS adapter, 't' || k AS tensor_key, pos, a % 7 = 0 AND k = 4 AS wrong,
+         CASE WHEN k IN (2, 3) THEN 'float16' WHEN k IN (4, 5) THEN 'bfloat16' ELSE 'float32' END AS dtype,
+         CASE WHEN pos = 61 THEN x * 1e-39 WHEN pos = 62 THEN sign(x) * 3.4e38 WHEN pos % 5 = 1 THEN x * 1e-6 WHEN pos % 5 = 2 THEN x * 1e6
+              WHEN pos % 5 = 3 THEN 1 + (floor(abs(x) * 4096) % 1024 + 0.5) / 1024 WHEN pos % 5 = 4 THEN 1 + (floor(abs(x) * 4096) % 128 + 0.5) / 128 ELSE x END AS v
+  FROM raw WHERE NOT (k = 6 AND pos >= n // 2 * 2)),
+singles AS (SELECT *, CASE WHEN abs(v) < 3.4028235677973366e38 THEN CAST(CAST(v AS FLOAT) AS DOUBLE) ELSE sign(v) * 'inf'::DOUBLE END AS s,
+                   CASE dtype WHEN 'float16' THEN 10 ELSE 7 END AS digits, CASE dtype WHEN 'float16' THEN -14 ELSE -126 END AS least,
+                   CASE dtype WHEN 'float16' THEN 65504.0::DOUBLE ELSE 3.3895313892515355e38 END AS most FROM vals),
+exps AS (SELECT *, CASE WHEN s = 0 THEN least ELSE CAST(floor(log2(abs(s))) AS INT) END AS e0 FROM singles),
+quanta AS (SELECT *, pow(2.0::DOUBLE, greatest(CASE WHEN s <> 0 AND pow(2.0::DOUBLE, e0) > abs(s) THEN e0 - 1 WHEN s <> 0 AND pow(2.0::DOUBLE, e0 + 1) <= abs(s) THEN e0 + 1 ELSE e0 END, least) - digits) AS q
+           FROM exps),
+halves AS (SELECT *, abs(s) / q - floor(abs(s) / q) AS part, floor(abs(s) / q) AS whole FROM quanta),
+near AS (SELECT *, CASE WHEN dtype = 'float32' THEN v ELSE sign(s) * q * (whole + CASE WHEN part > 0.5 OR (part = 0.5 AND whole % 2 = 1) THEN 1 ELSE 0 END) END AS r FROM halves)"""
+SQL["adapter_half_ingest"] = _w(_HALF, """
+SELECT adapter, tensor_key, pos, dtype, CASE WHEN dtype = 'float32' OR abs(r) <= most THEN r END AS value,
+       CAST(CASE WHEN dtype <> 'float32' AND abs(r) > most THEN sign(r) ELSE 0 END AS INT) AS infinite
+FROM near WHERE NOT wrong""")
+SQL["adapter_tensor_audit"] = """
+SELECT 'adapter_' || vec_id // 8 AS adapter, 't' || vec_id % 8 AS tensor_key,
+       CASE WHEN vec_id % 8 IN (2, 3) THEN 'float16' WHEN vec_id % 8 IN (4, 5) THEN 'bfloat16' ELSE 'float32' END AS dtype,
+       CAST(CASE WHEN vec_id % 8 = 6 THEN len(embedding) // 2 * 2 ELSE len(embedding) END AS BIGINT) AS n,
+       CAST(CASE WHEN vec_id % 8 BETWEEN 2 AND 5 THEN 1 WHEN vec_id % 8 = 6 THEN 2 ELSE 0 END AS INT) AS dims,
+       NOT (vec_id // 8 % 7 = 0 AND vec_id % 8 = 4) AS shape_ok
+FROM embeddings"""
+_defaults = list(C.ADAPTER_DEFAULTS.items())
+SQL["adapter_configs"] = f"""
+SELECT 'adapter_' || a AS adapter, CASE WHEN a % 3 = 0 THEN 'OTHER' ELSE {B.lit(_defaults[0][1])} END AS {_defaults[0][0]},
+       {', '.join(f'{B.lit(v)} AS {k}' for k, v in _defaults[1:])}, CASE WHEN a % 3 = 0 THEN CAST(a AS VARCHAR) END AS rank,
+       CAST(CASE WHEN a % 3 = 0 THEN 5 ELSE 4 END AS BIGINT) AS n_keys
+FROM (SELECT DISTINCT vec_id // 8 AS a FROM embeddings)"""
+
 SQL["shard_export"] = SQL["bucket_sizes"]

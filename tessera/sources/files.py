@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.half import to_dtype
+from ..functions import constants as C
+from ..functions.plan import fence
 from ..sinks.writers import NESTED_SCHEMA
 
 
@@ -50,28 +53,54 @@ def _numbers(raw):
     return F.when(F.ltrim(raw).startswith("[["), F.flatten(two_d)).otherwise(one_d)
 
 
-def read_adapter_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """S-9: adapter weight files (one JSON document per file) to the long
-    table (adapter, tensor_key, pos, value, dtype).  A tensor entry is a
-    list, or a dict with ``data``/``values`` plus optional ``shape`` and
-    ``dtype``; half-precision dtypes are narrowed through float.  The
-    adapter is ``metadata.name`` when present, else the file stem; with
-    ``multi_line=False`` a file holds one adapter document per line."""
+def _adapter_lines(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """``adapter, metadata, state_dict`` of each adapter document; the adapter is
+    ``metadata.name`` when present, else the file stem."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    raw = (spark.read.schema(ADAPTER_FILE).option("multiLine", multi_line).json(path)
-           .select(F.coalesce(F.col("metadata")["name"], stem).alias("adapter"),
-                   F.explode("state_dict").alias("tensor_key", "entry")))
+    raw = spark.read.schema(ADAPTER_FILE).option("multiLine", multi_line).json(path)
+    return raw.select(F.coalesce(F.col("metadata")["name"], stem).alias("adapter"), "metadata", "state_dict")
+
+
+def read_adapter_tensors(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S-9, a row for each tensor: ``adapter, tensor_key, dtype, values, shape, shape_ok``.
+
+    A tensor entry is a list, or a dict with ``data`` or ``values`` plus optional
+    ``shape`` and ``dtype``.  ``shape_ok`` is false where the declared shape does
+    not hold the number of values (or has none to hold); without a shape it is true."""
+    raw = _adapter_lines(spark, path, multi_line).select("adapter", F.explode("state_dict").alias("tensor_key", "entry"))
     d = F.from_json(F.col("entry"), TENSOR_DICT)
     is_dict = F.ltrim(F.col("entry")).startswith("{")
     body = F.when(is_dict, F.coalesce(d["data"], d["values"])).otherwise(F.col("entry"))
     dtype = F.when(is_dict, F.coalesce(d["dtype"], F.lit("float32"))).otherwise(F.lit("float32"))
-    vals = raw.select("adapter", "tensor_key", dtype.alias("dtype"), _numbers(body).alias("v"))
-    out = vals.select("adapter", "tensor_key", "dtype", F.posexplode("v").alias("pos", "value"))
-    half = F.col("dtype").isin("float16", "bfloat16", "torch.float16", "torch.bfloat16")
-    return out.select(
-        "adapter", "tensor_key", F.col("pos").cast("long").alias("pos"),
-        F.when(half, F.col("value").cast("float").cast("double")).otherwise(F.col("value")).alias("value"),
-        "dtype")
+    rows = fence(raw.select("adapter", "tensor_key", dtype.alias("dtype"), _numbers(body).alias("values"), F.when(is_dict, d["shape"]).alias("shape")))
+    holds = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    fits = F.col("shape").isNull() | F.coalesce(holds == F.size("values"), F.lit(False))
+    return rows.withColumn("shape_ok", F.col("values").isNotNull() & fits)
+
+
+def read_adapter_json(spark: SparkSession, path: str, multi_line: bool = True, strict: bool = False) -> DataFrame:
+    """S-9: adapter weight files (one JSON document per file, or per line with
+    ``multi_line=False``) to the long table (adapter, tensor_key, pos, value,
+    dtype).  Half-precision tensors hold their rounded values.  A tensor whose
+    shape does not hold its values ends a ``strict`` read and is left out of
+    another (``read_adapter_tensors`` lists it)."""
+    tensors = read_adapter_tensors(spark, path, multi_line)
+    if strict:
+        why = F.concat(F.lit("shape of "), "adapter", F.lit("/"), "tensor_key", F.lit(" does not hold its values"))
+        tensors = tensors.withColumn("values", F.when(F.col("shape_ok"), F.col("values")).otherwise(F.raise_error(why).cast("array<double>")))
+    else:
+        tensors = tensors.filter("shape_ok")
+    out = tensors.select("adapter", "tensor_key", "dtype", F.posexplode("values").alias("pos", "value"))
+    return out.select("adapter", "tensor_key", F.col("pos").cast("long").alias("pos"), to_dtype(F.col("value"), F.col("dtype")).alias("value"), "dtype")
+
+
+def read_adapter_configs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S-9: each adapter's configuration: its metadata, and the defaults for the keys that it lacks
+    (a key that is there keeps its value, null included)."""
+    have = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
+    pairs = [x for k, v in C.ADAPTER_DEFAULTS.items() for x in (F.lit(k), F.lit(v))]
+    missing = F.map_filter(F.create_map(*pairs), lambda k, _: ~F.map_contains_key(have, k))
+    return _adapter_lines(spark, path, multi_line).select("adapter", F.map_concat(have, missing).alias("config"))
 
 
 ARTIFACT_IDS = 1024
