@@ -19,6 +19,7 @@ from .operators import seeds as SD
 from .operators import shards as B
 from .session import ensure_checkpoint_dir, written
 from .sinks import writers as K
+from .sinks.versioned import VersionedTable
 from .sources import adapters as A
 from .sources import files as FS
 from .sources import mapping as M
@@ -123,7 +124,8 @@ def plan_training(spark: SparkSession, prompt_dir: str, registry_dir: str, names
                   all_poles: bool = False, force_retrain: bool = False, now: float | None = None) -> DataFrame:
     """Plan the runs of the named buckets, of all poles, or of every shard there
     is; write the registry and return the plan, with a row for each requested
-    bucket that has no shard (``missing``)."""
+    bucket that has no shard (``missing``).  The registry is a versioned table: a
+    run that dies leaves the version before, and of two runs at once the second fails."""
     ensure_checkpoint_dir(spark)
     rows = spark.read.schema("prompt string, completion string, bucket string").json(prompt_dir)
     current = written(RG.shard_fingerprints(rows), "fingerprints")
@@ -133,18 +135,23 @@ def plan_training(spark: SparkSession, prompt_dir: str, registry_dir: str, names
         current = current.join(requested, "bucket", "left_semi")
     else:
         missing = current.limit(0).select("bucket")
-    registry = spark.createDataFrame([], REGISTRY_SCHEMA)
-    if ST._exists(spark, registry_dir):
-        registry = written(spark.read.schema(REGISTRY_SCHEMA).parquet(registry_dir), "registry")
+    table = VersionedTable(spark, registry_dir, REGISTRY_SCHEMA)
+    versions = table.versions()
+    registry = table.read()
     plan = written(RG.run_plan(current, registry, force_retrain), "run-plan")
     after = RG.registry_upsert(registry.limit(0) if force_retrain else registry, plan, time.time() if now is None else now)
     status = registry.select("hash", F.col("job_id").alias("_job"), "status")
     after = after.join(status, (after["hash"] == status["hash"]) & (after["job_id"] == status["_job"]), "left").select(after["*"], "status")
-    K.write_table(written(after, "registry"), registry_dir)
+    table.write(after, after=versions[-1] if versions else 0)
     return plan.select("bucket", "file_name", "n_rows", "hash", "action", "job_id").unionByName(
         missing.select("bucket", F.lit("missing").alias("action")), allowMissingColumns=True)
 
 
+def read_registry(spark: SparkSession, registry_dir: str, version: int | None = None) -> DataFrame:
+    """The registry as ``plan_training`` left it, or an earlier version of it."""
+    return VersionedTable(spark, registry_dir, REGISTRY_SCHEMA).read(version)
+
+
 def unfinished(requested: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """J-6: requested buckets without a finished checkpoint (``bucket, finished``)."""
     return requested.join(checkpoints.filter("finished").select("bucket"), "bucket", "left_anti")

@@ -24,9 +24,11 @@ from ..operators import vectors as V
 from ..operators import sample as S
 from ..session import scratch_path, stored
 from ..sinks import writers as K
+from ..sinks.versioned import VersionedTable
 from ..sources import adapters as A
 from ..sources import files as FS
 from ..streaming import fill as ST
+from ..streaming import jobs_log as JL
 from ..sources import mapping as M
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,6 +388,39 @@ def job_terminal_status(spark, sf_dir):
     return RG.terminal_status(RG.job_status_log(A.table(spark, sf_dir, "events")))
 
 
+#: Parts that the job log of ``job_status_stream`` arrives in, and after how many the stream is started again.
+LOG_PARTS = 4
+LOG_RESTART = 2
+
+
+@register("job_status_stream")
+def job_status_stream(spark, sf_dir):
+    """R-5 on an arriving log: events come in parts that do not follow their
+    order, the stream is started twice, and the states are those of one pass."""
+    base = scratch_path(spark, "job-log")
+    log = RG.job_status_log(A.table(spark, sf_dir, "events")).select("job_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), "status")
+    part = F.pmod(F.hash("event_id"), F.lit(LOG_PARTS))
+    for i in range(LOG_PARTS):
+        log.filter(part == i).write.mode("append").parquet(f"{base}/incoming")
+        if i + 1 in (LOG_RESTART, LOG_PARTS):
+            stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/incoming")
+            JL.start_following(stream, f"{base}/states", f"{base}/checkpoint").awaitTermination()
+    return JL.job_states(spark, f"{base}/states").drop("silent")
+
+
+REGISTRY_ROWS = "hash string, job_id string, file_name string, trait string, created_at double"
+
+
+@register("registry_versions")
+def registry_versions(spark, sf_dir):
+    """R-3 / K-8: the registry before and after a run as versions of one table, rows of both."""
+    table = VersionedTable(spark, scratch_path(spark, "registry"), REGISTRY_ROWS)
+    first = table.write(_registry(spark, sf_dir))
+    plan = RG.run_plan(_fingerprints(corpus(spark, sf_dir)), _registry(spark, sf_dir))
+    second = table.write(RG.registry_upsert(table.read(first), plan, PLAN_NOW), after=first)
+    return table.read(first).withColumn("version", F.lit(first)).unionByName(table.read(second).withColumn("version", F.lit(second)))
+
+
 @register("coverage_audit")
 def coverage_audit(spark, sf_dir):
     available = B.bucket_sizes(_bucket_rows(spark, sf_dir)).select("bucket", F.col("n").alias("n_rows"))

@@ -249,6 +249,12 @@ SELECT job_id, n_events, last_status,
             ELSE 'remaining' END AS outcome
 FROM latest"""
 
+SQL["job_status_stream"] = SQL["job_terminal_status"]
+SQL["registry_versions"] = SQL["registry_upsert"].replace(
+    "SELECT hash, job_id, file_name, trait, created_at FROM ranked WHERE rn = 1",
+    "SELECT hash, job_id, file_name, trait, created_at, 2 AS version FROM ranked WHERE rn = 1 "
+    "UNION ALL SELECT hash, job_id, file_name, trait, created_at, 1 AS version FROM registry")
+
 _req = ", ".join(f"({B.lit(f'{t}_{p}')})" for t in C.PLANNER_TRAITS for p in ("plus", "minus"))
 SQL["coverage_audit"] = _w(BUCKETS, f""",
 requested AS (SELECT * FROM (VALUES {_req}) AS t(bucket)),
