@@ -17,7 +17,11 @@ small, whatever the number of pages.
 Text: character references are decoded, white space inside a block becomes one
 blank, blocks are trimmed and joined by two line feeds.  Null html counts as
 empty and gives an empty text.  Broken markup (missing end tags, cut-off pages)
-is repaired as browsers do for heads, paragraphs, list items, cells and the like.
+is repaired as browsers do for heads, paragraphs, list items, cells and the like;
+attributes are read as browsers read them, in one pass, so a long page of
+unclosed quotes takes no longer than any other. A page is read whole, however
+long. Names of classes and ids count as whole names and are one feature of an
+element among others.
 Repeated rows, null ids and extra columns are allowed; an empty table gives an
 empty result.
 """
@@ -60,12 +64,99 @@ CLOSES = {
 }
 ENDS_P = BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend"}
 P_BOUNDARY = {"td", "th", "table", "caption", "body", "html", "button", "object"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE_NAME = re.compile(r"[^\s/>=][^\s/>=]*|=[^\s/>=]*")
+UNQUOTED = re.compile(r"[^\s>]*")
+BLANK = re.compile(r"[\s/]*")
+NAMING = ("class", "id", "role", "itemprop", "aria-label")
+#: Parts of class names and ids.  A name counts where all its parts are of one list or neutral, and one is of the list.
 HINTS = {
-    "off": re.compile(r"nav|menu|footer|header|sidebar|aside|widget|banner|cookie|notice|consent|promo|advert|sponsor|\bads?\b|comment|reply|disqus|share|social|related|subscribe|newsletter|breadcrumb|login|search|popup|modal|toolbar|pagination|copyright", re.I),
-    "on": re.compile(r"article|content|main|post|entry|story|text|body", re.I),
+    "off": set(
+        "nav navbar navigation menu footer header sidebar aside widget widgets banner cookie cookies notice notices consent promo promotion advert adverts advertisement "
+        "sponsor sponsored ad ads comment comments reply replies disqus share sharing social related subscribe newsletter breadcrumb breadcrumbs login signup "
+        "search searchform popup modal toolbar pagination pager copyright contentinfo complementary masthead".split()),
+    "on": set("article articlebody content main post entry story text body".split()),
 }
+NEUTRAL = set("site page box bar block area wrap wrapper container inner outer section list links link items item top bottom left right primary secondary global form buttons button widget row col column panel module the".split())
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+
+
+def hint_of(names: list[str]) -> str:
+    """``off``, ``on`` or ``other`` for the names (class, id, role) of an element, empty without any."""
+    found = set()
+    for name in names:
+        parts = {x.lower() for x in NAME_PARTS.findall(name) if not x.isdigit()}
+        for kind, listed in HINTS.items():
+            if parts & listed and parts <= listed | NEUTRAL:
+                found.add(kind)
+    if found == {"off"} or found == {"on"}:
+        return found.pop()
+    return "other" if names else ""
+
+
+class Scanner:
+    """Start and end tags, comments and declarations of a page, in one pass over it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.closed = {'"': True, "'": True}  # whether such a quote may still come
+
+    def tag(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """Attributes from behind a tag's name: (place behind the tag, attributes, whether it closes itself).
+
+        An apostrophe or quote within a name or an unquoted value is a part of
+        it.  A quoted value ends at the next such quote; where there is none in the
+        whole rest, it ends before the next ``>``.  A tag that is cut off ends with the page."""
+        page, size, found, slash = self.page, len(self.page), {}, False
+        while True:
+            m = BLANK.match(page, at)
+            slash = m[0].endswith("/")
+            at = m.end()
+            if at >= size:
+                return size, found, slash
+            if page[at] == ">":
+                return at + 1, found, slash
+            m = ATTRIBUTE_NAME.match(page, at)
+            name, at, value = m[0].lower(), m.end(), ""
+            while at < size and page[at].isspace():
+                at += 1
+            if at < size and page[at] == "=":
+                at += 1
+                while at < size and page[at].isspace():
+                    at += 1
+                quote = page[at:at + 1]
+                if quote in self.closed and quote:
+                    end = page.find(quote, at + 1) if self.closed[quote] else -1
+                    if end < 0:
+                        self.closed[quote] = False
+                        end = page.find(">", at)
+                        value, at = page[at + 1:end] if end > 0 else "", end if end > 0 else size
+                    else:
+                        value, at = page[at + 1:end], end + 1
+                else:
+                    m = UNQUOTED.match(page, at)
+                    value, at = m[0], m.end()
+            found.setdefault(name, value)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, dict[str, str], bool] | None:
+        """The next tag from ``at``: (its place, the place behind it, name, whether it is an end tag, attributes, closes itself); name empty for comments."""
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, len(page) if end < 0 else end + 3, "", False, {}, False
+            if page[at + 1:at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                return at, len(page) if end < 0 else end + 1, "", False, {}, False
+            ends = page.startswith("/", at + 1)
+            m = TAG_NAME.match(page, at + 1 + ends)
+            if m:
+                behind, found, slash = self.tag(m.end())
+                return at, behind, m[0].lower(), ends, found, slash
+            at += 1
 
 
 class Node:
@@ -82,45 +173,50 @@ def parse(page: str | None) -> Node:
     root = Node("html", "", None)
     open_ = [root]
     page = page or ""
+    scanner = Scanner(page)
+    count = Counter()  # of the open elements, by tag
+
+    def cut(i: int) -> None:
+        for n in open_[i:]:
+            count[n.tag] -= 1
+        del open_[i:]
+
     at = 0
     while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at:m.start()] if m else page[at:]
+        m = scanner.next(at)
+        text = page[at:m[0]] if m else page[at:]
         if text:
             if open_[-1].tag == "head" and text.strip():
-                open_.pop()
+                cut(len(open_) - 1)
             open_[-1].children.append(text)
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, tag, ends, attributes, slash = m
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in open_):
-                continue
-            for i in range(len(open_) - 1, 0, -1):
+        if ends:
+            for i in range(len(open_) - 1, 0, -1) if count[tag] else ():
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    cut(i)
                     break
                 if open_[i].tag in ("td", "th", "table", "article", "main", "body") and tag not in BLOCKS:
                     break
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in open_) or tag == "head" and len(open_) > 1:
+        if tag == "html" or tag == "body" and count[tag] or tag == "head" and len(open_) > 1:
             continue
         if open_[-1].tag == "head" and tag not in IN_HEAD:
-            open_.pop()
-        if tag in ENDS_P:
+            cut(len(open_) - 1)
+        if tag in ENDS_P and count["p"]:
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == "p":
-                    del open_[i:]
+                    cut(i)
                     break
                 if open_[i].tag in P_BOUNDARY:
                     break
         if tag in CLOSES:
             ended, boundary = CLOSES[tag]
             last = None
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if any(count[x] for x in ended) else ():
                 if open_[i].tag in boundary:
                     break
                 if open_[i].tag in ended:
@@ -128,12 +224,10 @@ def parse(page: str | None) -> Node:
                     if tag in ("li", "dt", "dd", "option"):
                         break
             if last is not None:
-                del open_[last:]
-        names = " ".join(x for a in ATTRIBUTE.finditer(m[3]) for x in a.groups()[1:] if x) if m[3] else ""
-        hint = "off" if names and HINTS["off"].search(names) else "on" if names and HINTS["on"].search(names) else "other" if names else ""
-        node = Node(tag, hint, open_[-1])
-        if "data-label" in m[3]:
-            node.label = int("data-label=1" in m[3])
+                cut(last)
+        node = Node(tag, hint_of([x for name in NAMING for x in attributes.get(name, "").split()]), open_[-1])
+        if "data-label" in attributes:
+            node.label = int(attributes["data-label"] == "1")
         open_[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -141,8 +235,9 @@ def parse(page: str | None) -> Node:
             if tag in ("textarea", "title"):
                 node.children.append(page[at:stop])
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not slash:
             open_.append(node)
+            count[tag] += 1
     return root
 
 
@@ -182,8 +277,6 @@ def features(nodes: list[Node]) -> list[tuple]:
 
 def edge_kind(node: Node) -> str:
     """Kind of the potential between a parent and this child."""
-    if node.hint == "off":
-        return "off"
     if node.tag in BLOCKS:
         return "heading" if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") else node.tag
     return "skipped" if node.tag in SKIPPED else "control" if node.tag in ("button", "select", "input", "textarea", "label") else "inline"
@@ -201,7 +294,7 @@ def label(nodes: list[Node]) -> list[int] | None:
         if marked:
             out[id(n)] = n.label if n.label is not None else up
         else:
-            out[id(n)] = int(n is heads[0] or (up and n.tag not in SKIPPED and edge_kind(n) not in ("off", "nav", "footer", "aside", "form")))
+            out[id(n)] = int(n is heads[0] or (up and n.tag not in SKIPPED and n.hint != "off" and edge_kind(n) not in ("nav", "footer", "aside", "form")))
     return [out[id(n)] for n in nodes]
 
 

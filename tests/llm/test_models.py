@@ -1,8 +1,11 @@
 """Mixing, languages, chat roles, search and main text."""
 
 import random
+import time
+import re
 
 import numpy as np
+import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -203,6 +206,54 @@ def test_main_text_has_math_and_objects():
     assert htmlmain.main_text(page, model) == f"A\n\n{line * 3}so x=2 holds.\n\n{line}a plan of it"
 
 
+LINE = "The river rose slowly over the fields while the people of the village carried what they could to the old mill. "
+
+
+def _around(body):
+    menu = "<ul><li><a href=/>home</a></li><li><a href=/a>about</a></li><li><a href=/b>blog</a></li></ul>"
+    return f"<html><head><title>x</title></head><body><nav>{menu}</nav>{body}<footer><p>small print</p></footer></body></html>"
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    return htmlmain.Model(htmlmain.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+
+
+def test_names_that_hold_a_listed_word_stay(fitted):
+    parts = f"<h1>Head</h1><p>{LINE * 3}</p><p>{LINE * 2}</p>"
+    want = f"Head\n\n{(LINE * 3).strip()}\n\n{(LINE * 2).strip()}"
+    for open_, close in (("<div class='entry-content share-enabled'>", "</div>"), ("<article class='post social-post'>", "</article>"),
+                         ("<article class='has-header-image'>", "</article>"), ("<article id='article-navy'>", "</article>")):
+        assert htmlmain.main_text(_around(open_ + parts + close), fitted) == want, open_
+    page = _around(f"<article><p>{LINE * 3}</p><p class='shareable'>{LINE * 4}</p><div class=share-buttons><a href=x>share</a></div>"
+                   f"<div class='cookie-notice'>{LINE}</div><section class=comments><p>{LINE}</p></section></article>")
+    assert htmlmain.main_text(page, fitted) == f"{(LINE * 3).strip()}\n\n{(LINE * 4).strip()}"
+
+
+def test_quotes_in_tags(fitted):
+    two = f"{(LINE * 3).strip()}\n\n{(LINE * 2).strip()} it's"
+    for odd in ("<a title=don't href=x></a>", "<a 'b href=x></a>", "<br title=\"a>b\">", "<img alt = 'a > b'>"):
+        assert htmlmain.main_text(_around(f"<article><p>{LINE * 3}</p>{odd}<p>{LINE * 2} it's</p></article>"), fitted) == two, odd
+    open_quote = f"<body><article><p>{LINE}</p><p title=\"abc>{LINE * 2}</p></article>"
+    assert htmlmain.main_text(open_quote, fitted) == f"{LINE.strip()}\n\n{(LINE * 2).strip()}"
+    assert htmlmain.main_text(f"<body><article><p>{LINE * 3}<p title='", fitted) == (LINE * 3).strip()
+
+
+def test_broken_pages_take_linear_time():
+    start = time.time()
+    for unit in ('<p title="a>b ', "<a b='c>", "<a 'x \"y", "<", "<!--", "<a b=", "<div>", "<div><p>", "<ul><li>", "</p>", "</x>"):
+        htmlmain.parse(unit * (1_000_000 // len(unit)))
+    assert time.time() - start < 90
+
+
+def test_articles_without_the_article_tag(spark, fitted):
+    """The text of a page does not hang on its article and main tags."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    same = sum(htmlmain.main_text(a, fitted) == htmlmain.main_text(b, fitted) for a, b in zip(pages, plain))
+    assert same >= 0.95 * len(pages)
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = htmlmain.extract(pages).collect()
