@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_arrow, saved
 
@@ -227,6 +228,7 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
     counts = fit(conversations, sample) if counts is None else counts
     model_of = conversations.sparkSession.sparkContext.broadcast(counts)  # states and buckets
     conv = conversations.schema["conv_id"].dataType.simpleString()
+    kind = to_arrow_type(conversations.schema["conv_id"].dataType)
     d = _numbered(conversations, [], "chat")
     several = _ends(d).where("_a < _b").select("_conv")  # conversations of more than one chunk
     long_rows = d.join(several, d["conv_id"].eqNullSafe(several["_conv"]), "left_semi")
@@ -246,7 +248,7 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
                 convs.append(conv_id)
                 chunks.append(chunk)
                 flat.append([*head.tolist(), *model.table(lines).ravel().tolist()])
-        yield pa.RecordBatch.from_arrays([pa.array(convs, KIND[conv]), pa.array(chunks, pa.int64()), pa.array(flat, pa.list_(pa.float64()))], names=["conv_id", "_chunk", "best"])
+        yield pa.RecordBatch.from_arrays([pa.array(convs, kind), pa.array(chunks, pa.int64()), pa.array(flat, pa.list_(pa.float64()))], names=["conv_id", "_chunk", "best"])
 
     def join(batches):
         """States before and at the end of each chunk of a conversation, from the chunks' tables."""
@@ -265,7 +267,7 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
                 out.append((conv_id, chunk, b[state], state))
                 state = b[state]
         columns = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [KIND[conv], pa.int64(), pa.int32(), pa.int32()])], names=["_conv", "_c", "_before", "_end"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [kind, pa.int64(), pa.int32(), pa.int32()])], names=["_conv", "_c", "_before", "_end"])
 
     small = map_arrow(_chunks(long_rows, ["text"]), tables, f"conv_id {conv}, _chunk bigint, best array<double>")
     ends = saved(map_arrow(small.repartition("conv_id").sortWithinPartitions("conv_id", "_chunk"), join, f"_conv {conv}, _c bigint, _before int, _end int"), "chat-ends")
@@ -304,19 +306,15 @@ def parse(conversations: DataFrame, counts: dict[str, int] | None = None, sample
                 current[3] += 1
                 current[5] += [*above, *own, *(below[0] if below else [])]
             if len(out) >= 4096:
-                yield _turns(out, conv)
+                yield _turns(out, kind)
                 out = []
-        yield _turns(out, conv)
+        yield _turns(out, kind)
 
     return map_arrow(ready, decode, f"conv_id {conv}, first_turn bigint, first_line int, n_lines int, role string, text string, rendered string")
 
 
-#: Arrow type of a conversation's id.
-KIND = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
-def _turns(out: list[list], conv: str) -> pa.RecordBatch:
+def _turns(out: list[list], kind: pa.DataType) -> pa.RecordBatch:
     texts = ["\n".join(r[5]) for r in out]
     columns = [[r[i] for r in out] for i in range(5)] + [texts, [render(r[4], t) for r, t in zip(out, texts)]]
-    kinds = [KIND[conv], pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    kinds = [kind, pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "first_turn", "first_line", "n_lines", "role", "text", "rendered"])

@@ -40,6 +40,14 @@ def ship_package(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with underscores in front until no column of ``taken`` has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

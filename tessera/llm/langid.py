@@ -11,7 +11,9 @@ about ``SAMPLE`` of each language, chosen by a hash of the id, whole texts.
 The prediction is the language of the largest score (the first in order of name
 on a tie), ``score`` its share among the languages; ``und`` with score 0 for a
 null text or one without a letter.  Rows are predicted one by one: repeated rows,
-null ids and extra columns are allowed.  Without labelled rows every text is
+null ids and extra columns are allowed.  A run of more than ``LONGEST_WORD``
+letters is cut there into several words, so time and memory stay in proportion to
+the text, however long it is.  Without labelled rows every text is
 ``und``.  An empty table gives an empty result.
 """
 
@@ -37,7 +39,9 @@ SMOOTHING = 0.02
 MOST_PARAMETERS = 50_000_000
 CACHE_UNITS = 400_000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A longer run of letters (a script without blanks, or junk) is cut into words of this many letters.
+LONGEST_WORD = 64
+LETTERS = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
 MARK = b" "
 
 

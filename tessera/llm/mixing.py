@@ -70,14 +70,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     rates = saved(rates.withColumn("_mix_parts", parts.cast("int")).withColumn("_mix_cdf", _distribution(F.col("_mix_rate") / F.col("_mix_parts"))), "mix-rates")
     columns = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(whole())))
-    d = docs.select(*columns).join(broadcast_if_small(rates, rates.count(), 20_000), F.col("source").eqNullSafe(F.col("_mix_source")))
-    d = d.withColumn("_mix_name", name)
+    d = docs.select(F.struct(*columns).alias("_mix_row"), name.alias("_mix_name"))  # the row in one column: no name can clash
+    d = d.join(broadcast_if_small(rates, rates.count(), 20_000), F.col("_mix_row.source").eqNullSafe(F.col("_mix_source")))
     drawn = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda j: _uniform(F.concat_ws("|", F.col("_mix_name"), j.cast("string"))))
     count = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("_mix_cdf", lambda c: u >= c)))
     d = d.withColumn("_mix_count", count).where(F.col("_mix_count") > 0)
     d = d.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_count").cast("long"))))
     d = d.withColumn("mix_key", F.md5(F.concat_ws("|", F.col("_mix_name"), F.lit("copy"), F.col("mix_copy").cast("string"))))
-    return d.select(*columns, "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    return d.select("_mix_row.*", "mix_copy", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def poisson_count(u: float, mean: float) -> int:

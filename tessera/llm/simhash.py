@@ -182,11 +182,10 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id, a
     null id after all others, equal ids by the hash of the text."""
-    keep = docs.columns
     order = [F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("_sh_id"), F.xxhash64("text").alias("_sh_text")]
-    d = docs.select("*", *order)
+    d = docs.select(F.struct(*docs.columns).alias("_sh_row"), "text", *order)
     marked = saved(with_fingerprints(d.select("_sh_id", "_sh_text", "text"), shingle, ["_sh_id", "_sh_text"]), "simhash")
     first = _with_roots(marked, radius).groupBy("_root").agg(F.min(F.struct("_sh_id", "_sh_text")).alias("m")).select("m._sh_id", "m._sh_text")
     kept = d.join(first.distinct(), ["_sh_id", "_sh_text"], "left_semi")
     place = F.row_number().over(W.partitionBy("_sh_id", "_sh_text").orderBy("_sh_id"))
-    return kept.withColumn("_sh_place", place).where("_sh_place = 1").select(*keep)
+    return kept.withColumn("_sh_place", place).where("_sh_place = 1").select("_sh_row.*")

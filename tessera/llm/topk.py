@@ -13,7 +13,8 @@ compete.  The shards' lists are merged by a rank per query.
 Vectors that are null or hold a null or non-finite component take no part; a
 shorter vector counts as padded with zeros.  A null ``vec_id`` is never a query
 and ranks after all ids of its score.  Repeated rows are rows of their own (a
-query leaves out its own row only).  Ties go to the smaller ``vec_id``.
+query leaves out its own row only).  Components of any finite size are exact; a
+score beyond 64 bits counts as the nearest 64-bit number.  An empty table gives an empty result; other columns are ignored.  Ties go to the smaller ``vec_id``.
 """
 
 from __future__ import annotations
@@ -66,6 +67,18 @@ def maxscore(rows: np.ndarray, ids: np.ndarray, own: np.ndarray, query: np.ndarr
     return [(int(score[i]), int(ids[some[i]])) for i in order]
 
 
+def _integers(x: np.ndarray) -> np.ndarray:
+    """Whole-number floats as Python integers."""
+    return np.array([int(v) for v in x.reshape(-1)], dtype=object).reshape(x.shape)
+
+
+def wide_scores(rows: np.ndarray, ids: np.ndarray, own: np.ndarray, query: np.ndarray, query_own: int, k: int) -> list[tuple[int, int]]:
+    """As ``maxscore``, in integers of any size, for tiles that floats do not add up exactly."""
+    total = (rows * query[:, None]).sum(axis=0).tolist()
+    found = [(max(-1 << 63, min(s, (1 << 63) - 1)), i) for s, i, o in zip(total, ids.tolist(), own.tolist()) if o != query_own]
+    return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
 def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Whole-number components as columns of floats, padded to ``width``."""
     out = np.zeros((width, len(lists)))
@@ -97,10 +110,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             ids = np.array([NO_ID if x is None else x for x in a.column("vec_id").to_pylist()], dtype=np.int64)
             own = a.column("own").to_numpy()
             asked = _matrix(b.column("v"), width)
-            if max(np.abs(rows).max(), 1.0) * max(np.abs(asked).max(), 1.0) * width >= 2.0 ** 52:
-                raise OverflowError("components are too large for exact sums")
+            large = max(np.abs(rows).max(), 1.0) * max(np.abs(asked).max(), 1.0) * width >= 2.0 ** 52
+            whole = _integers(rows) if large else None
             for j, (query_id, query_own) in enumerate(zip(b.column("vec_id").to_pylist(), b.column("own").to_pylist())):
-                out += [(query_id, query_own, i, s) for s, i in maxscore(rows, ids, own, asked[:, j], query_own, k)]
+                best = wide_scores(whole, ids, own, _integers(asked[:, j]), query_own, k) if large else maxscore(rows, ids, own, asked[:, j], query_own, k)
+                out += [(query_id, query_own, i, s) for s, i in best]
         columns = list(zip(*out)) if out else [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query_own", "vec_id", "score"])
 

@@ -222,3 +222,17 @@ def test_passage_whose_parts_occur_earlier(docs_of):
     assert {(r["doc_id"], r["of_doc"], r["start_word"], r["end_word"]) for r in out} == pairs
     kept = {r["doc_id"]: r["text"].split() for r in passages.drop_repeated(docs).collect()}
     assert all(len(kept[doc]) == 30 for doc, _, _, _ in pairs) and all(kept[i] == w for i, w in rows if i % 20 != 19)
+
+
+def test_helper_names_among_the_columns(docs_of):
+    """Input columns named like the helpers' own come through unharmed."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import mixing
+    passage = " ".join(f"w{i}" for i in range(70))
+    rows = [(i, f"{passage} tail {i} " + " ".join(f"v{i}x{j}" for j in range(40))) for i in range(4)]
+    names = ["_mix_source", "_mix_row", "_mix_name", "_q_lang", "_q_text", "_q_kept", "_p_doc", "_P_spans", "_sh_id", "_sh_row", "_sh_place", "spans"]
+    docs = docs_of(rows).withColumns({c: F.lit(f"mine {c}") for c in names})
+    for stage in (mixing.mix, quality.quality_filter, quality.judge, passages.drop_repeated, simhash.simhash_dedup):
+        out = stage(docs).collect()
+        assert out and all(r[c] == f"mine {c}" for r in out for c in names), stage

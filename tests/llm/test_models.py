@@ -261,3 +261,53 @@ def test_pages(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", "<p>"), (1, "u", "<p>")]
     edge = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert [r["text"] for r in htmlmain.extract(edge).collect()] == [""] * 4 and htmlmain.extract(edge.limit(0)).count() == 0
+
+
+def test_long_runs_of_letters(spark, docs_of):
+    """A run of letters without blanks takes time in proportion to its length."""
+    base = [(i, ("the house and the water of the old man " if i % 2 else "das Haus und das Wasser und der alte Mann ") * 8) for i in range(60)]
+    docs = docs_of([(i, t, "en" if i % 2 else "de", "s", len(t)) for i, t in base] + [(100, "x" * 2_000_000, None, "s", 0), (101, "漢字" * 400_000, None, "s", 0)])
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    start = time.time()
+    got = {r["doc_id"]: r for r in langid.identify(docs, path).collect()}
+    assert time.time() - start < 120 and got[100]["lang_pred"] in ("en", "de") and got[1]["lang_pred"] == "en" and got[2]["lang_pred"] == "de"
+    assert [len(w) for w in langid.words_of("a" * 150 + " bc")] == [64, 64, 22, 2]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,0)", "date"])
+def test_chat_ids_of_any_type(spark, kind):
+    rows = [(i // 4, i % 4, "user" if i % 2 == 0 else "assistant", f"User: question {i}?" if i % 2 == 0 else f"Assistant: answer {i}.") for i in range(24)]
+    df = spark.createDataFrame(rows, "c int, turn long, role string, text string")
+    key = F.date_add(F.lit("2020-01-01"), F.col("c")) if kind == "date" else F.col("c").cast(kind)
+    out = chat.parse(df.select(key.alias("conv_id"), "turn", "role", "text"))
+    assert out.schema["conv_id"].dataType.simpleString() == kind and out.select("conv_id").distinct().count() == 6
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    """Viterbi against every state path of short transcripts, also with given states at its ends."""
+    import itertools
+    rng = np.random.default_rng(2)
+    for _ in range(25):
+        n, s = int(rng.integers(1, 6)), 4
+        model = object.__new__(chat.Model)
+        model.start, model.step = np.log(rng.random(s)), np.log(rng.random((s, s)))
+        emit = np.log(rng.random((n, s)))
+        model.emit = emit.__getitem__
+        for before, end in ((None, None), (1, None), (None, 2), (3, 0)):
+            first = model.start if before is None else model.step[before]
+            score = lambda p: first[p[0]] + emit[0][p[0]] + sum(model.step[p[i - 1], p[i]] + emit[i][p[i]] for i in range(1, n))
+            want = max((p for p in itertools.product(range(s), repeat=n) if end is None or p[-1] == end), key=score)
+            assert abs(score(model.viterbi(list(range(n)), before, end)) - score(want)) < 1e-9
+
+
+def test_top_k_of_large_components(spark):
+    import math
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([1e20, -1e9, 3e7, 0.5, 2.0]) * rng.random() for _ in range(6)]) for i in range(0, 120)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect()]
+    whole = {i: [int(x) * 256 if abs(x) > 2 ** 52 else math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scores = [(-max(-1 << 63, min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:5])]
+    assert got == want
