@@ -48,3 +48,10 @@ def keep(salt: str = DEFAULT_SALT) -> Column:
 def stratified_sample(corpus: DataFrame, salt: str = DEFAULT_SALT) -> DataFrame:
     """M-1: keep a row iff hash(source, origin_id) mod 10 000 < its rate."""
     return corpus.filter(keep(salt))
+
+
+def random_sample(corpus: DataFrame, seed: int) -> DataFrame:
+    """M-1 in its random form: each row of a stratum is kept with the stratum's
+    rate, independently of the others (Bernoulli).  A seed gives the same rows
+    again only for the same partitions of the same rows; the hash form does so always."""
+    return corpus.filter(F.coalesce(F.rand(seed) * RATE_SCALE < stratum_rate(), F.lit(False)))

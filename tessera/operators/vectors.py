@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions.plan import fence
 from .sample import hash32
 
 ROUND = 6
@@ -152,15 +153,19 @@ def triplets(df: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> D
 
 
 def global_distribution(df: DataFrame, col: str = "embedding") -> DataFrame:
-    """X-12: mean, population std, min, max over every value of every
-    vector (explode + partial global aggregates)."""
-    x = F.col("x")
-    vals = df.select(F.explode(_d(col)).alias("x"))
-    return vals.agg(
-        F.count(F.lit(1)).alias("n_values"),
-        F.round(F.avg(x), ROUND).alias("mean"),
-        F.round(F.stddev_pop(x), ROUND).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"))
+    """X-12: mean, population std, min, max over every value of every vector.
+    A vector becomes one row of count, mean and squared deviations within the
+    scan; these are combined by partial aggregates, so nothing is a row per value."""
+    v = F.col("v")
+    n = F.size(v).cast("double")
+    rows = fence(df.select(_d(col).alias("v")).filter(F.size(v) > 0).select("v", (F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n).alias("m")))
+    m = F.col("m")
+    rows = rows.select(n.alias("n"), "m", F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)).alias("s"), F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+    total = rows.agg(F.sum("n").alias("n"), F.sum(F.col("n") * m).alias("t"), F.sum(F.col("s") + F.col("n") * m * m).alias("q"), F.min("low").alias("min"), F.max("high").alias("max"))
+    mean = F.col("t") / F.col("n")
+    return total.select(
+        F.coalesce(F.col("n"), F.lit(0.0)).cast("long").alias("n_values"), F.round(mean, ROUND).alias("mean"),
+        F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), ROUND).alias("std"), "min", "max")
 
 
 def fit(col: Column, dim: int = C.VECTOR_DIM) -> Column:
@@ -228,24 +233,60 @@ def flatten_adapters(tensors: DataFrame, reference: str) -> DataFrame:
     return flat, summary
 
 
-def weight_norms(tensors: DataFrame, reference: str) -> DataFrame:
-    """X-13: sum of squares over lora_A and lora_B tensors per adapter, and
-    the mean absolute difference to the reference adapter (join on
-    (tensor_key, pos))."""
-    v = F.col("value")
-    sq = tensors.groupBy("adapter").agg(
-        F.round(F.sum(F.when(F.col("tensor_key").endswith("lora_A"), v * v)), ROUND).alias("sumsq_a"),
-        F.round(F.sum(F.when(F.col("tensor_key").endswith("lora_B"), v * v)), ROUND).alias("sumsq_b"))
-    ref = tensors.filter(F.col("adapter") == reference).select(
-        "tensor_key", "pos", F.col("value").alias("ref_value"))
-    diff = tensors.join(ref, ["tensor_key", "pos"]).groupBy("adapter").agg(
-        F.round(F.avg(F.abs(v - F.col("ref_value"))), ROUND).alias("mean_abs_diff_to_ref"))
+#: Values in a block of a tensor at most.
+BLOCK = 64
+
+
+def adapter_blocks(embeddings: DataFrame) -> DataFrame:
+    """``adapter, tensor_key, block, values``: the tensors of ``adapter_tensors`` as blocks of at most ``BLOCK`` values."""
+    vid = F.col("vec_id")
+    k = F.pmod(vid, F.lit(TENSORS_PER_ADAPTER))
+    key = F.concat(F.lit("layers."), F.floor(k / 2).cast("string"), F.lit(".lora_"), F.when(F.pmod(k, F.lit(2)) == 0, F.lit("A")).otherwise(F.lit("B")))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / BLOCK).cast("int") - 1), lambda i: F.slice("embedding", i * BLOCK + 1, BLOCK).cast("array<double>"))
+    return embeddings.filter(F.size("embedding") > 0).select(
+        F.concat(F.lit("adapter_"), F.floor(vid / TENSORS_PER_ADAPTER).cast("string")).alias("adapter"), key.alias("tensor_key"), F.posexplode(parts).alias("block", "values"))
+
+
+def to_blocks(tensors: DataFrame) -> DataFrame:
+    """``adapter, tensor_key, block, values`` from a table of whole tensors (``adapter, tensor_key, values``)."""
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("values") / BLOCK).cast("int") - 1), lambda i: F.slice("values", i * BLOCK + 1, BLOCK))
+    return tensors.filter(F.size("values") > 0).select("adapter", "tensor_key", F.posexplode(parts).alias("block", "values"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def weight_norms(blocks: DataFrame, reference: str) -> DataFrame:
+    """X-13: sum of squares over lora_A and lora_B tensors per adapter, and the
+    mean absolute difference to the reference adapter (a join of blocks; a value
+    without a counterpart does not count)."""
+    squares = _sum(F.transform("values", lambda x: x * x))
+    rows = blocks.select("adapter", "tensor_key", squares.alias("q"))
+    sq = rows.groupBy("adapter").agg(
+        F.round(F.sum(F.when(F.col("tensor_key").endswith("lora_A"), F.col("q"))), ROUND).alias("sumsq_a"),
+        F.round(F.sum(F.when(F.col("tensor_key").endswith("lora_B"), F.col("q"))), ROUND).alias("sumsq_b"))
+    ref = blocks.filter(F.col("adapter") == reference).select("tensor_key", "block", F.col("values").alias("other"))
+    apart = F.filter(F.zip_with("values", "other", lambda x, y: F.abs(x - y)), lambda x: x.isNotNull())
+    diff = fence(blocks.join(ref, ["tensor_key", "block"]).select("adapter", apart.alias("apart"))).select("adapter", _sum(F.col("apart")).alias("t"), F.size("apart").alias("n")) \
+        .groupBy("adapter").agg(F.round(F.sum("t") / F.sum("n"), ROUND).alias("mean_abs_diff_to_ref"))
     return sq.join(diff, "adapter", "left")
 
 
-def blend(tensors: DataFrame, weights: DataFrame) -> DataFrame:
-    """X-14: weighted combination of adapters, linear in weight space:
-    ``sum(w * v)`` per (tensor_key, pos).  ``weights``: (adapter, weight)."""
-    return tensors.join(weights, "adapter").groupBy("tensor_key", "pos").agg(
-        F.round(F.sum(F.col("weight") * F.col("value")), ROUND).alias("value"),
-        F.count(F.lit(1)).alias("n_adapters"))
+def blend_blocks(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """X-14: weighted combination of adapters, linear in weight space, as
+    ``tensor_key, block, size, values, n_adapters``.  Arrays are added place by
+    place in one partial aggregate: a task sends one row for each block, not one
+    for each weight and adapter.  Blocks of different sizes (adapters whose
+    tensors differ in length) are added up apart."""
+    size = F.size("values").alias("size")
+    weighted = blocks.join(weights, "adapter").select("tensor_key", "block", size, *[(F.col("weight") * F.get("values", F.lit(i))).alias(f"v{i}") for i in range(BLOCK)])
+    sums = weighted.groupBy("tensor_key", "block", "size").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(BLOCK)], F.count(F.lit(1)).alias("n_adapters"))
+    return sums.select("tensor_key", "block", "size", F.slice(F.array(*[f"v{i}" for i in range(BLOCK)]), F.lit(1), F.col("size")).alias("values"), "n_adapters")
+
+
+def blend(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """X-14 in long form: ``tensor_key, pos, value, n_adapters``."""
+    rows = blend_blocks(blocks, weights).select("tensor_key", "block", "n_adapters", F.posexplode("values").alias("i", "x"))
+    return rows.groupBy("tensor_key", (F.col("block").cast("long") * BLOCK + F.col("i")).alias("pos")).agg(
+        F.round(F.sum("x"), ROUND).alias("value"), F.sum("n_adapters").alias("n_adapters"))

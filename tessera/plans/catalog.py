@@ -7,6 +7,7 @@ and runs over whole tables and whole texts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -507,12 +508,12 @@ def adapter_flat_values(spark, sf_dir):
 
 @register("vector_norms")
 def vector_norms(spark, sf_dir):
-    return V.weight_norms(_tensors(spark, sf_dir), REFERENCE_ADAPTER)
+    return V.weight_norms(V.adapter_blocks(_emb(spark, sf_dir)), REFERENCE_ADAPTER)
 
 
 @register("vector_blend")
 def vector_blend(spark, sf_dir):
-    t = _tensors(spark, sf_dir)
+    t = V.adapter_blocks(_emb(spark, sf_dir))
     weights = t.select("adapter").distinct().withColumn("weight", F.lit(C.ADAPTER_BLEND_WEIGHT))
     return V.blend(t, weights)
 
@@ -528,6 +529,34 @@ def corpus_export_roundtrip(spark, sf_dir):
     return K.flat(FS.read_corpus_jsonl(spark, path, strict=True))
 
 
+@register("corpus_json_array")
+def corpus_json_array(spark, sf_dir):
+    """K-4: export the corpus as one JSON array in parts and read it back."""
+    path = scratch_path(spark, "corpus-json")
+    K.export_corpus(corpus(spark, sf_dir), path, "json")
+    return K.flat(K.read_json_array(spark, path))
+
+
+@register("split_rows")
+def split_rows(spark, sf_dir):
+    """S-11: conversations laid out by split; one split is read, by its partition."""
+    path = scratch_path(spark, "splits")
+    n = F.pmod(F.col("conv_id"), F.lit(10))
+    split = F.when(n < 8, F.lit("train")).when(n == 8, F.lit("validation")).otherwise(F.lit("test"))
+    K.write_splits(A.table(spark, sf_dir, "conversations").withColumn("split", split), path)
+    return A.select_split(spark.read.parquet(path), "validation").select("conv_id", "turn", "role", "text", "split")
+
+
+@register("corpus_file_roundtrips")
+def corpus_file_roundtrips(spark, sf_dir):
+    """K-1 and K-2: the corpus as Parquet and as CSV, read back; a row for each format and row."""
+    base, rows = scratch_path(spark, "corpus-files"), corpus(spark, sf_dir)
+    K.export_corpus(rows, f"{base}/parquet", "parquet")
+    K.export_corpus(rows, f"{base}/csv", "csv")
+    parts = {"parquet": spark.read.parquet(f"{base}/parquet"), "csv": K.read_csv_corpus(spark, f"{base}/csv", rows.schema)}
+    return reduce(lambda a, b: a.unionByName(b), [df.withColumn("format", F.lit(k)) for k, df in parts.items()])
+
+
 @register("seed_file_scan")
 def seed_file_scan(spark, sf_dir):
     """K-7 + S-7 + W-3 + Q-14: write the accepted seeds as JSONL and as plain

@@ -126,6 +126,10 @@ SQL["seed_file_scan"] = _w(SEEDS, "SELECT seed FROM seed_pool UNION ALL SELECT s
 SQL["label_dialogue_lists"] = _w(B.dialogue_list_ctes(), f"SELECT {_cols_of_classified()} FROM src_lists")
 SQL["corpus_export_roundtrip"] = _w(SAMPLED, f"SELECT utterance, {B.TRAIT_COLS}, source, origin_id, original_tag FROM corpus")
 
+SQL["corpus_json_array"] = SQL["corpus_export_roundtrip"]
+SQL["corpus_file_roundtrips"] = _w(SAMPLED, f"SELECT {B.CORPUS_COLS}, unnest(['parquet', 'csv']) AS format FROM corpus")
+SQL["split_rows"] = "SELECT conv_id, turn, role, text, 'validation' AS split FROM conversations WHERE conv_id % 10 = 8"
+
 BUCKETS = SAMPLED + B.bucket_ctes()
 SQL["bucket_rows"] = _w(BUCKETS, f"SELECT bucket, source, origin_id, {B.TRAIT_COLS} FROM bucket_rows")
 SQL["bucket_sizes"] = _w(BUCKETS, f"""
