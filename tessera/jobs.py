@@ -5,6 +5,7 @@ the operators; nothing passes through the driver but counts."""
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +115,52 @@ def fill_buckets(spark: SparkSession, responses: str, shard_dir: str, state_dir:
     return B.bucket_sizes(ST.read_shards(spark, shard_dir))
 
 
+REFILL_STATE = "bucket string, existing long, need long"
+
+
+def refill(spark: SparkSession, shard_dir: str, seed_files: list[str], work_dir: str, answer: Callable[[DataFrame, int], DataFrame],
+           buckets: list[str] | None = None, target: int = C.TARGET_PER_BUCKET, factor: int = C.OVERSAMPLE_FACTOR, max_rounds: int = 50) -> DataFrame:
+    """M-3 / D-5 to the end: request, answer, deduplicate and append, and ask again
+    with other seeds for what is missing, until every bucket has its target or a
+    round adds nothing.  ``answer`` turns requests (bucket, request_no, seed,
+    system_prompt) into responses (bucket, request_no, seed, text).
+
+    The needs at the start of each round are a version of the table
+    ``work_dir/state``.  A call after a crash goes on in the round of the last
+    version: requests and responses that are complete are used again, and the
+    fill goes on from its checkpoint.  Returns the last needs."""
+    ensure_checkpoint_dir(spark)
+    state = VersionedTable(spark, f"{work_dir}/state", REFILL_STATE)
+
+    def needs() -> DataFrame:
+        return B.fill_needs(spark, ST.read_shards(spark, shard_dir), target, buckets)
+
+    def kept(name: str, make) -> DataFrame:
+        path = f"{work_dir}/{name}"
+        if not ST._exists(spark, f"{path}/_SUCCESS"):
+            K.write_jsonl(make(), path)
+        return spark.read.schema("bucket string, request_no long, seed string, system_prompt string, text string").json(path)
+
+    if not state.versions():
+        state.write(needs(), after=0)
+    while True:
+        number = state.versions()[-1]
+        start = {r["bucket"]: r["existing"] for r in state.read(number).filter("need > 0").collect()}  # at most 20 buckets
+        before = {r["bucket"]: r["existing"] for r in state.read(number - 1).collect()} if number > 1 else {}
+        if not start or number > max_rounds or start and all(before.get(b) == n for b, n in start.items()):
+            return state.read(number)
+        # the need of the version, also where a fill that crashed has met a part of it
+        open_ = needs().drop("existing", "need").join(F.broadcast(state.read(number)), "bucket")
+        pool = SD.read_seed_lines(spark, seed_files).select("seed")
+        requests = kept(f"requests/r{number:05d}", lambda: B.paraphrase_requests(open_, pool, factor, draw=number))
+        place = F.array_position(F.array(*[F.lit(b) for b in C.BUCKETS]), F.col("bucket"))
+        node = F.lit(number) * F.lit(1 << 45) + place * F.lit(1 << 38) + F.col("request_no")
+        kept(f"responses/r{number:05d}", lambda: answer(requests.drop("text"), number).select(node.cast("long").alias("node"), "bucket", "request_no", "seed", "text"))
+        stream = spark.readStream.schema("node long, bucket string, text string, seed string").json(f"{work_dir}/responses/*")
+        ST.start_fill(spark, stream, shard_dir, f"{work_dir}/bands", f"{work_dir}/checkpoint", target).awaitTermination()
+        state.write(needs(), after=number)
+
+
 def list_available(spark: SparkSession, prompt_dir: str) -> DataFrame:
     """Buckets that have a shard of prompts, with their sizes."""
     rows = spark.read.schema("prompt string, completion string, bucket string").json(prompt_dir)

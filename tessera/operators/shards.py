@@ -120,7 +120,7 @@ def numbered_pool(pool: DataFrame, text_col: str = "seed") -> DataFrame:
 
 
 def paraphrase_requests(needs: DataFrame, pool: DataFrame,
-                        factor: int = C.OVERSAMPLE_FACTOR) -> DataFrame:
+                        factor: int = C.OVERSAMPLE_FACTOR, draw: int = 1) -> DataFrame:
     """N-1 with M-2 / M-3 / J-7: ``factor * need`` requests per bucket.
 
     Seeds are drawn without replacement when the pool is large enough (a
@@ -128,8 +128,9 @@ def paraphrase_requests(needs: DataFrame, pool: DataFrame,
     and with replacement otherwise (hash-picked index).  Requests are
     generated with ``sequence``/``explode`` and matched to seeds by an
     equi-join on the seed number -- no cross product.  The template is one of
-    the bucket's four, picked by hash.
+    the bucket's four, picked by hash.  Another ``draw`` picks other seeds and templates.
     """
+    salt = "" if draw == 1 else str(draw)
     numbered = written(numbered_pool(pool), "seed-numbers")
     pool_size = numbered.count()
     if pool_size == 0:
@@ -139,12 +140,12 @@ def paraphrase_requests(needs: DataFrame, pool: DataFrame,
            .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("need") * factor - 1)))
            .withColumn("pool_size", F.lit(pool_size).cast("long")))
     n_req = F.col("need") * factor
-    offset = F.pmod(hash32(F.col("bucket"), salt="offset"), F.col("pool_size"))
-    pick = F.pmod(hash32(F.col("bucket"), F.col("k").cast("string"), salt="pick"), F.col("pool_size"))
+    offset = F.pmod(hash32(F.col("bucket"), salt=f"offset{salt}"), F.col("pool_size"))
+    pick = F.pmod(hash32(F.col("bucket"), F.col("k").cast("string"), salt=f"pick{salt}"), F.col("pool_size"))
     req = req.withColumn(
         "seed_no", F.when(F.col("pool_size") >= n_req, F.pmod(offset + F.col("k"), F.col("pool_size")))
         .otherwise(pick))
-    tmpl = F.get(F.col("templates"), F.pmod(hash32(F.col("bucket"), F.col("k").cast("string"), salt="tmpl"),
+    tmpl = F.get(F.col("templates"), F.pmod(hash32(F.col("bucket"), F.col("k").cast("string"), salt=f"tmpl{salt}"),
                                              F.lit(4)).cast("int"))
     return req.join(numbered, "seed_no").select(
         "bucket", F.col("k").alias("request_no"), "seed",

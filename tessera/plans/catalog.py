@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import jobs as J
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import dedup as D
@@ -682,6 +683,31 @@ def fill_stream(spark, sf_dir):
     return K.flat_synthetic(ST.read_shards(spark, f"{base}/shards"))
 
 
+#: Rows that ``refill_rounds`` fills the buckets up to, and the share of the need that a round's answers differ in.
+REFILL_TARGET = 200
+REFILL_SHARE = 0.6
+
+
+@register("refill_rounds")
+def refill_rounds(spark, sf_dir):
+    """M-3 / D-5: the corpus' shards are filled up in as many rounds as it takes;
+    the answers of a round are six different texts for every ten rows that it
+    asks for, so one round is never enough."""
+    base = scratch_path(spark, "refill")
+    K.write_shards(K.nested(_bucket_rows(spark, sf_dir), "bucket"), f"{base}/shards")
+    seed_pool(spark, sf_dir).select("seed").write.option("maxRecordsPerFile", C.LOADER_MAX_LINES_PER_FILE).text(f"{base}/seeds")
+
+    def answer(requests, number):
+        most = F.max("request_no").over(Window.partitionBy("bucket")) + 1  # requests of a bucket: bounded by the target
+        which = F.pmod(F.col("request_no"), F.greatest(F.ceil(most / C.OVERSAMPLE_FACTOR * REFILL_SHARE), F.lit(1)))
+        name = F.md5(F.concat_ws("|", "bucket", F.lit(number), which.cast("string")))
+        words = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit("w"), F.substring(F.md5(F.concat(name, i.cast("string"))), 1, 10)))
+        return requests.withColumn("text", F.array_join(words, " "))
+
+    J.refill(spark, f"{base}/shards", [f"{base}/seeds"], f"{base}/work", answer, target=REFILL_TARGET)
+    return B.fill_needs(spark, ST.read_shards(spark, f"{base}/shards"), REFILL_TARGET).select("bucket", "existing", "need")
+
+
 @register("label_dialogue_lists")
 def label_dialogue_lists(spark, sf_dir):
     """P-1 + P-2 + L-3 over array dialogues, some without emotions."""

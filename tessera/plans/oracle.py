@@ -139,6 +139,8 @@ SELECT source, origin_id, {B.prompt_sql()} AS prompt, coalesce(utterance, '') AS
 SQL["converted_counts"] = _w(BUCKETS, "SELECT bucket, count(*) AS n FROM bucket_rows GROUP BY ROLLUP (bucket)")
 SQL["bucket_needs"] = _w(BUCKETS, "SELECT bucket, existing, need FROM bucket_needs")
 
+SQL["refill_rounds"] = _w(BUCKETS, "SELECT bucket, greatest(existing, 200)::BIGINT AS existing, 0::BIGINT AS need FROM bucket_needs")
+
 _h = B.hash32
 _REQUESTS = f""",
 numbered AS (SELECT seed, row_number() OVER (ORDER BY {_h('pool', 'seed')}, seed) - 1 AS seed_no FROM seed_pool),

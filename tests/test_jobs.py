@@ -9,6 +9,7 @@ from tessera import jobs
 from tessera.functions import constants as C
 from tessera.operators import dedup as D
 from tessera.operators import registry as RG
+from tessera.sinks.versioned import VersionedTable
 from tessera.sources import files as FS
 from tessera.sources import mapping as M
 from tessera.streaming import fill as ST
@@ -162,3 +163,41 @@ def test_fill_stream_query_has_several_batches(spark, monkeypatch):
     want = D.fill_to_target(cand, cand.select("bucket", "text").limit(0), needs)
     assert len([n for n in sizes if n]) == 4 and sum(sizes) == 160
     assert out == sorted(r["seed"] for r in want.collect()) and len(out) == 30
+
+
+def test_refill_goes_on_after_crashes(spark, tmp_path, monkeypatch):
+    """Answers with too many copies need several rounds; a call dies in every step once."""
+    seeds = [{"utterance": f"I think the train number {i} leaves at nine tomorrow"} for i in range(40)]
+    _lines(tmp_path / "seeds.json", seeds)
+    asked = []
+
+    def answer(requests, number):
+        asked.append((number, requests.count()))
+        if len(asked) == 1:
+            raise OSError("killed")
+        which = F.pmod(F.col("request_no"), F.lit(3))  # three different texts a round
+        return requests.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat(F.lit(f"n{number}x"), which.cast("string"), F.lit("y"), i.cast("string"))), " "))
+
+    def call():
+        return {r["bucket"]: (r["existing"], r["need"]) for r in jobs.refill(
+            spark, str(tmp_path / "shards"), [str(tmp_path / "seeds.json")], str(tmp_path / "work"), answer, C.BUCKETS[:2], target=7).collect()}
+
+    with pytest.raises(OSError):
+        call()
+    with monkeypatch.context() as m:  # after the first round's fill, before its state
+        write = VersionedTable.write
+        m.setattr(VersionedTable, "write", lambda self, rows, after=None: write(self, rows, after) if after == 0 else (_ for _ in ()).throw(OSError("killed")))
+        with pytest.raises(OSError):
+            call()
+    assert call() == {b: (7, 0) for b in C.BUCKETS[:2]}
+    assert [n for n, _ in asked] == [1, 1, 2, 3] and asked[0] == asked[1]
+    rows = ST.read_shards(spark, str(tmp_path / "shards"))
+    assert rows.count() == 14 and rows.select("bucket", "utterance").distinct().count() == 14
+    assert call() == {b: (7, 0) for b in C.BUCKETS[:2]} and len(asked) == 4  # nothing left to do
+
+
+def test_refill_ends_where_answers_add_nothing(spark, tmp_path):
+    _lines(tmp_path / "seeds.json", [{"utterance": "I think the train number 1 leaves at nine tomorrow"}])
+    same = lambda requests, _: requests.withColumn("text", F.lit("always the same answer in these very words"))
+    got = jobs.refill(spark, str(tmp_path / "shards"), [str(tmp_path / "seeds.json")], str(tmp_path / "work"), same, C.BUCKETS[:1], target=3).collect()
+    assert [(r["existing"], r["need"]) for r in got] == [(1, 2)]
