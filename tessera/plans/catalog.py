@@ -685,14 +685,14 @@ def fill_stream(spark, sf_dir):
 
 #: Rows that ``refill_rounds`` fills the buckets up to, and the share of the need that a round's answers differ in.
 REFILL_TARGET = 200
-REFILL_SHARE = 0.6
+REFILL_SHARE = 0.9
 
 
 @register("refill_rounds")
 def refill_rounds(spark, sf_dir):
     """M-3 / D-5: the corpus' shards are filled up in as many rounds as it takes;
-    the answers of a round are six different texts for every ten rows that it
-    asks for, so one round is never enough."""
+    the answers of a round are nine different texts for every ten rows that are
+    missing, so one round is not enough."""
     base = scratch_path(spark, "refill")
     K.write_shards(K.nested(_bucket_rows(spark, sf_dir), "bucket"), f"{base}/shards")
     seed_pool(spark, sf_dir).select("seed").write.option("maxRecordsPerFile", C.LOADER_MAX_LINES_PER_FILE).text(f"{base}/seeds")
