@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from tessera.llm import graph, passages, quality, simhash
@@ -236,3 +237,25 @@ def test_helper_names_among_the_columns(docs_of):
     for stage in (mixing.mix, quality.quality_filter, quality.judge, passages.drop_repeated, simhash.simhash_dedup):
         out = stage(docs).collect()
         assert out and all(r[c] == f"mine {c}" for r in out for c in names), stage
+
+
+def test_packed_seeds_give_first_holders():
+    rng = np.random.default_rng(3)
+    values, messages, held = rng.integers(0, 1 << 40, 60), [], {}
+    for block in range(4):
+        own = np.sort(rng.choice(values, 30, replace=False))
+        doc, pos, several = rng.integers(-5, 9, 30), rng.integers(0, 1 << 31, 30), rng.random(30) < 0.1
+        for h, d, p, s in zip(own.tolist(), doc.tolist(), pos.tolist(), several.tolist()):
+            held.setdefault(h, []).append((d, p, s))
+        raw = passages._packed(passages._planes(np.diff(own, prepend=0), passages.TAIL), passages._planes(doc), passages._planes(pos, passages.PLACE), np.packbits(several).tobytes())
+        messages.append((block, own, raw))
+    table = pa.table({"block": pa.array([m[0] for m in messages], pa.int64()), "range": pa.array([7] * 4, pa.int32()),
+                      "n": pa.array([30] * 4, pa.int32()), "seeds": pa.array([m[2] for m in messages], pa.binary())})
+    out = passages._first_holders(table)
+    for (_, own, _), raw in zip(messages, out.column("firsts")):
+        data = passages._unpacked(raw)
+        shared = np.unpackbits(np.frombuffer(data[:4], np.uint8), count=30).astype(bool)
+        n = int(shared.sum())
+        firsts = list(zip(passages._from_planes(data[4:4 + 8 * n]).tolist(), passages._from_planes(data[4 + 8 * n:], passages.PLACE).tolist()))
+        assert shared.tolist() == [len({d for d, _, _ in held[h]}) > 1 or any(s for _, _, s in held[h]) for h in own.tolist()]
+        assert firsts == [min((d, p) for d, p, _ in held[h]) for h in own[shared].tolist()]
