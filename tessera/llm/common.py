@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -62,6 +63,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_buckets(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like ``saved``, in buckets by ``key``: a join on it with rows dealt to as
+    many partitions does not shuffle ``df``.  The catalog entry is only needed
+    while the buckets are told to the reader."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, name)
+    table = "tessera_" + uuid.uuid4().hex
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved before the entry goes; the files of a table with a path of its own stay
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that ``column`` holds about ``limit`` bytes in each
     part; a longer single text is a part of its own."""
