@@ -259,3 +259,24 @@ def test_packed_seeds_give_first_holders():
         firsts = list(zip(passages._from_planes(data[4:4 + 8 * n]).tolist(), passages._from_planes(data[4 + 8 * n:], passages.PLACE).tolist()))
         assert shared.tolist() == [len({d for d, _, _ in held[h]}) > 1 or any(s for _, _, s in held[h]) for h in own.tolist()]
         assert firsts == [min((d, p) for d, p, _ in held[h]) for h in own[shared].tolist()]
+
+
+def test_chain_on_one_diagonal_is_aligned_like_any_other():
+    rng = np.random.default_rng(5)
+    for n in (40, 50, 70, 120):
+        for every in (5, 6, 9, 200):
+            a = rng.integers(1, 1 << 30, n + 100).astype(np.uint32)
+            b = rng.integers(1, 1 << 30, n + 80).astype(np.uint32)
+            b[30:30 + n] = a[50:50 + n]
+            b[30 + every:30 + n:every] = 0
+            same = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(a[50:50 + n] == b[30:30 + n], passages.K).all(axis=1))
+            if not len(same):
+                continue
+            x0, x1 = 50 + int(same[0]), 50 + int(same[-1])
+            got = passages.align(a, b, [x0, x1, x0 - 20, x1 - 20], 0, 0)
+            equal = a[20:] == b[:len(a) - 20]
+            for s, e, os, oe, share in got:
+                assert (s - os, e - oe) == (20, 20) and e - s >= passages.MIN_WORDS
+                assert share == equal[s - 20:e - 20].mean() >= passages.SIMILARITY
+            best = max((equal[i:j].mean() for i in range(len(equal)) for j in range(i + passages.MIN_WORDS, min(len(equal), i + 130) + 1)), default=0)
+            assert bool(got) == (best >= passages.SIMILARITY)
