@@ -79,7 +79,7 @@ def make_batch_writer(spark: SparkSession, shard_path: str, bands_path: str, tar
         needs = (B.fill_needs(spark, spark.createDataFrame([], "bucket string"), target)
                  .select("bucket").join(counts, "bucket", "left")
                  .select("bucket", F.greatest(F.lit(target) - F.coalesce("existing", F.lit(0)), F.lit(0)).alias("need")))
-        members = _members(batch, "node")
+        members = _members(batch, "node").checkpoint(eager=True)  # read for the verdict and again for the bands that are kept
         pre = None
         if _exists(spark, bands_path):
             committed = shard.select(F.coalesce("run", F.lit(EARLIER)).alias("run"), F.coalesce("epoch", F.lit(-1)).alias("epoch")).distinct()
