@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +35,13 @@ def _follow(silent_after: int, finished: frozenset[str]):
         if not silent:
             for rows in batches:
                 n += len(rows)
-                last = rows.sort_values(["ts", "event_id"], kind="stable").iloc[-1]
-                at = int(pd.Timestamp(last["ts"]).value), int(last["event_id"])
+                times, ids = rows["ts"].to_numpy().astype("datetime64[ns]").view(np.int64), rows["event_id"].to_numpy()
+                missing = np.isnat(times.view("datetime64[ns]"))
+                some = np.flatnonzero(missing if missing.any() else times == times.max())  # a missing time counts as the last
+                last = some[len(some) - 1 - ids[some][::-1].argmax()]
+                at = int(times[last]), int(ids[last])
                 if ts is None or at > (ts, event_id):
-                    (ts, event_id), status = at, last["status"]
+                    (ts, event_id), status = at, rows["status"].iat[last]
         state.update((n, ts, event_id, status))
         if status not in finished and not silent:
             state.setTimeoutDuration(silent_after)

@@ -2,10 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import registry as RG
+from tessera.plans import catalog
 from tessera.sinks.versioned import Conflict, VersionedTable
 from tessera.streaming import jobs_log as JL
 
@@ -85,3 +87,36 @@ def test_silent_jobs_are_reported(spark, tmp_path):
         arrive(job, status, n)
     got = {r["job_id"]: (r["n_events"], r["outcome"], r["silent"]) for r in JL.job_states(spark, str(tmp_path / "out")).collect()}
     assert got["quiet"] == (1, "remaining", True) and got["done"] == (1, "completed", False)
+
+
+def test_batches_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Two starts of the stream give two batches, however many files the parts come in."""
+    rows = [(i, f"2024-01-0{1 + i % 9} 00:00:00", i % 5, "click") for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp")) \
+        .repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, name: str(tmp_path / name))
+    got = {r["job_id"]: r["n_events"] for r in catalog.job_status_stream(spark, str(tmp_path)).collect()}
+    assert got == {f"ft-{i}": 80 for i in range(5)}
+    assert len(list((tmp_path / "job-log" / "states").glob("batch=*"))) == 2
+
+
+def test_last_event_of_a_batch(spark):
+    """As a stable sort by time and id has it, missing times last."""
+    rng = random.Random(9)
+
+    class Kept:
+        exists = hasTimedOut = False
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, _):
+            pass
+
+    for _ in range(60):
+        n = rng.randrange(1, 9)
+        rows = pd.DataFrame({"ts": pd.to_datetime([rng.choice([None, *range(3)][rng.randrange(2):]) for _ in range(n)], unit="s").astype("datetime64[us]"),
+                             "event_id": [rng.randrange(4) for _ in range(n)], "status": [str(i) for i in range(n)]})
+        kept, last = Kept(), rows.sort_values(["ts", "event_id"], kind="stable").iloc[-1]
+        list(JL._follow(1, frozenset())(("job",), iter([rows]), kept))
+        assert kept.value == (n, int(pd.Timestamp(last["ts"]).as_unit("ns").value if last["ts"] is not pd.NaT else pd.NaT.value), last["event_id"], last["status"])
