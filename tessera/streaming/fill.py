@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as C
+from ..functions.plan import evenly
 from ..operators import dedup as D
 from ..operators import shards as B
 from ..sinks.writers import NESTED_SCHEMA
@@ -53,7 +54,7 @@ def read_shards(spark: SparkSession, shard_path: str) -> DataFrame:
 
 def _members(rows: DataFrame, node: str) -> DataFrame:
     keep = ("bucket",)
-    return D.band_keys(D.signatures(rows, node, "text", keep), keep=keep)
+    return D.band_keys(D.signatures(evenly(rows), node, "text", keep), keep=keep)
 
 
 def index_earlier_shards(spark: SparkSession, shard_path: str, bands_path: str) -> None:
