@@ -2,7 +2,7 @@
 
 ``UnitEncoder`` gives exactly the library's ids for whole texts, but hands each
 distinct unit (a word with the blank before it) to the library once per worker
-while it stays in a bounded cache.  A blank between two characters that are not
+while it stays in a bounded cache, many units in one text.  A blank between two characters that are not
 white space is always a boundary of the byte-level pre-tokenizer, and merges
 never cross such a boundary, so the ids of a text are those of its units in
 order.  A text with any other arrangement of blanks goes to the library whole.
@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 CACHE_UNITS = 400_000
 LONGEST_CACHED = 64
+#: Units in a text that the library gets.
+JOINED = 256
 #: White space other than the blank and the line feed, in any of the libraries' senses.
 OTHER_BLANKS = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _loaded: dict[str, "UnitEncoder"] = {}
@@ -52,6 +54,12 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _strings(pieces: pa.Array) -> list[str]:
+    """Values without blanks, as a list by way of one string."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return pc.binary_join(whole, pa.scalar(" ", pieces.type))[0].as_py().split(" ")
+
+
 class UnitEncoder:
     def __init__(self, path: str, cache_units: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +71,6 @@ class UnitEncoder:
         self.cache_units = cache_units
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.stops: dict[str, bytes] = {}
         self._bytes: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -75,8 +82,27 @@ class UnitEncoder:
             out += [raw[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
         return out
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each with a blank before it, from texts of ``JOINED`` pieces: the blank is a boundary, so
+        the tokens that end with a piece's last byte are its own.  Where none does, the library gets each piece alone."""
+        sizes, out = self.token_bytes()[2], []
+        for i in range(0, len(pieces), 40 * JOINED):
+            part = pieces[i:i + 40 * JOINED]
+            texts = [" " + " ".join(part[k:k + JOINED]) for k in range(0, len(part), JOINED)]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([e.ids for e in found]), "<u4")
+            reached = np.cumsum(sizes[ids])
+            ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy().astype(np.int64) + 1)
+            at = np.searchsorted(reached, ends)
+            if len(reached) and reached[-1] == ends[-1] and (reached[at] == ends).all():
+                raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+                out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                out += self._library([" " + x for x in part])
+        return out
+
     def _units(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces, each with a blank before it.  Stops after a Latin letter are a token run of their own."""
+        """Ids of distinct pieces, each with a blank before it."""
         if len(self.cache) > self.cache_units:  # two generations: what is still in use comes back from the older one
             self.older, self.cache = self.cache, {}
         out = list(map(self.cache.get, pieces))
@@ -86,33 +112,13 @@ class UnitEncoder:
                 if out[i] is not None:
                     self.cache[pieces[i]] = out[i]
         missing = [i for i, ids in enumerate(out) if ids is None]
-        parts, need = {}, {}
-        for i in missing:
-            piece = pieces[i]
-            core = piece.rstrip(".,;:!?")
-            if len(core) < len(piece) and core and core[-1] < "ɐ" and core[-1].isalpha():
-                stops = piece[len(core):]
-                parts[i] = core, stops
-                if core not in self.cache:
-                    if core in self.older:
-                        self.cache[core] = self.older[core]
-                    else:
-                        need[core] = None
-                if stops not in self.stops:
-                    self.stops[stops] = self._library([stops])[0]
-            else:
-                need[piece] = None
-        fresh = dict(zip(need, self._library([" " + x for x in need])))
-        for i in missing:
-            if i in parts:
-                core, stops = parts[i]
-                out[i] = (fresh.get(core) or self.cache[core]) + self.stops[stops]
-            else:
-                out[i] = fresh[pieces[i]]
-        self.cache.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST_CACHED)
-        self.cache.update((pieces[i], out[i]) for i in parts if len(pieces[i]) <= LONGEST_CACHED)
-        if len(self.stops) > 10_000:
-            self.stops.clear()
+        solid = [i for i in missing if pieces[i][-1:] not in ("", "\n")]
+        blank = [i for i in missing if pieces[i][-1:] in ("", "\n")] if len(solid) < len(missing) else []
+        fresh = self._joined([pieces[i] for i in solid]) + self._library([" " + pieces[i] for i in blank])
+        for i, ids in zip(solid + blank, fresh):
+            out[i] = ids
+            if len(pieces[i]) <= LONGEST_CACHED:
+                self.cache[pieces[i]] = ids
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +134,7 @@ class UnitEncoder:
             per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(per_text)
             coded = lists.flatten().dictionary_encode()
-            pieces = coded.dictionary.to_pylist()
+            pieces = _strings(coded.dictionary)
             ids = pa.array(self._units(pieces) + self._library([t.partition(" ")[0] for t in plain]), pa.large_binary())
             at = coded.indices.to_numpy(zero_copy_only=False).copy()
             at[ends - per_text] = len(pieces) + np.arange(len(plain))  # a text's first piece has no blank before it

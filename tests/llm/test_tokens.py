@@ -48,6 +48,25 @@ def test_unit_encoder_gives_the_library_ids(cache):
     assert [b.decode() for b in own.decode(ids, counts)] == [t.decode(x, skip_special_tokens=False) for x in library(texts)]
 
 
+def test_units_reach_the_library_many_in_a_text():
+    enc = tokens.UnitEncoder(PATH)
+    library, handed = enc.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+    enc.tokenizer = Counting()
+    texts = [" ".join(f"w{i}x{j}.," for j in range(500)) for i in range(10)] + [" a\n\nb c\n", "é'll <|endoftext|>y\u0301 z\n\n", "x"]
+    ids, counts = enc.encode(texts)
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+    assert len(handed) < 100  # about 5,000 distinct units
+
+
 def test_decode_of_broken_bytes():
     own, t = tokens.UnitEncoder(PATH), Tokenizer.from_file(PATH)
     half = t.encode("🙂", add_special_tokens=False).ids[:1]
