@@ -75,6 +75,25 @@ def test_funnel_sums_to_input(spark):
     assert total == 2 * conv + 2 * docs + emb
 
 
+def test_corpus_rows_are_the_kept_ones_and_judge_texts_first(spark, tmp_path):
+    """The same rows as the whole funnel's, also with nulls and repeated keys, and no rejected text is written or joined."""
+    texts = ["I am so happy about the new house we bought", "sad", "x" * 3000, None, "", "  ", "!!! ??? ...,,,", "ok fine",
+             "this has CONV: id and more words here", "We are all very excited about the trip next week!"]
+    conv = [(c, t, "user" if t % 2 else "agent", texts[(3 * i + t) % len(texts)])
+            for i, c in enumerate([*range(90), 5, 5, None]) for t in range(4)]
+    docs = [(d, texts[(d or 0) % len(texts)]) for d in [*range(200), 7, 7, None]]
+    emb = [(d, [((d or 0) * k % 7) / 7.0 for k in range(12)] if (d or 0) % 9 else None) for d in [*range(0, 200, 2), 4, None]]
+    spark.createDataFrame(conv, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(emb, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, want = L.corpus_rows(spark, str(tmp_path)), L.kept(L.classified(spark, str(tmp_path)))
+    assert got.schema.simpleString() == want.schema.simpleString() and want.select("source").distinct().count() == 5
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    read = {f.rsplit("/", 2)[1].rsplit("-", 1)[0]: spark.read.parquet(f.rsplit("/", 1)[0]) for f in got.inputFiles() if "meaningful" in f}
+    assert set(read) == {"meaningful-turns", "meaningful-documents"}
+    assert all(r.filter("text is null or length(text) > 2000 or text = 'ok fine'").count() == 0 for r in read.values())
+
+
 def test_optional_source_and_split(spark):
     def broken():
         return spark.read.parquet("/nonexistent/path/for/tessera")
