@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import label as L
+from tessera.operators import sample as S
 from tessera.sources import adapters as A
 from tessera.sources import mapping as M
 
@@ -75,8 +76,8 @@ def test_funnel_sums_to_input(spark):
     assert total == 2 * conv + 2 * docs + emb
 
 
-def test_corpus_rows_are_the_kept_ones_and_judge_texts_first(spark, tmp_path):
-    """The same rows as the whole funnel's, also with nulls and repeated keys, and no rejected text is written or joined."""
+def _tables(spark, tmp_path):
+    """Texts of every kind, nulls and repeated keys."""
     texts = ["I am so happy about the new house we bought", "sad", "x" * 3000, None, "", "  ", "!!! ??? ...,,,", "ok fine",
              "this has CONV: id and more words here", "We are all very excited about the trip next week!"]
     conv = [(c, t, "user" if t % 2 else "agent", texts[(3 * i + t) % len(texts)])
@@ -86,6 +87,11 @@ def test_corpus_rows_are_the_kept_ones_and_judge_texts_first(spark, tmp_path):
     spark.createDataFrame(conv, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(emb, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+
+
+def test_corpus_rows_are_the_kept_ones_and_judge_texts_first(spark, tmp_path):
+    """The same rows as the whole funnel's, also with nulls and repeated keys, and no rejected text is written or joined."""
+    _tables(spark, tmp_path)
     got, want = L.corpus_rows(spark, str(tmp_path)), L.kept(L.classified(spark, str(tmp_path)))
     assert got.schema.simpleString() == want.schema.simpleString() and want.select("source").distinct().count() == 5
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -94,6 +100,16 @@ def test_corpus_rows_are_the_kept_ones_and_judge_texts_first(spark, tmp_path):
     assert all(r.filter("text is null or length(text) > 2000 or text = 'ok fine'").count() == 0 for r in read.values())
 
 
+def test_json_array_needs_no_rejected_rows(spark, tmp_path, monkeypatch):
+    """Nothing but the kept rows is built and written for a query over the corpus."""
+    from tessera.plans import catalog
+    _tables(spark, tmp_path)
+    want = S.stratified_sample(L.kept(L.classified(spark, str(tmp_path)))).drop("utterance_length", "word_count")
+    monkeypatch.setattr(catalog, "classified", None)
+    got = catalog.REGISTRY["corpus_json_array"](spark, str(tmp_path)).select(want.columns)
+    assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_optional_source_and_split(spark):
     def broken():
         return spark.read.parquet("/nonexistent/path/for/tessera")
