@@ -190,6 +190,20 @@ def test_quality(docs_of):
     assert quality.judge(docs_of(rows).limit(0)).count() == 0
 
 
+def test_passages_whose_parts_stand_earlier(docs_of):
+    """A changed passage meets its holder also if other documents hold its seeds first."""
+    rng, rows, want = random.Random(17), [], set()
+    for parts, every in ((2, 6), (3, 7), (2, 5)):
+        for _ in range(3):
+            passage, n, at = words(rng, 60), 60 // parts, len(rows)
+            rows += [(at + p, words(rng, 30) + passage[p * n:(p + 1) * n] + words(rng, 30)) for p in range(parts)]
+            changed = [w if (i + 1) % every else f"new{len(rows)}x{i}" for i, w in enumerate(passage)]
+            rows += [(at + parts, words(rng, 40) + passage + words(rng, 40)), (at + parts + 1, words(rng, 40) + changed + words(rng, 40))]
+            want.add((at + parts + 1, at + parts))
+    found = {(r["doc_id"], r["of_doc"]) for r in passages.repeated_passages(docs_of([(i, " ".join(w)) for i, w in rows])).collect()}
+    assert want <= found
+
+
 def test_passages_at_low_similarity(docs_of):
     """Pairs whose best ungapped stretch, by brute force, has 50 words at similarity 0.8 are found."""
     rng = random.Random(12)
