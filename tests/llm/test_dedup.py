@@ -294,3 +294,56 @@ def test_chain_on_one_diagonal_is_aligned_like_any_other():
                 assert share == equal[s - 20:e - 20].mean() >= passages.SIMILARITY
             best = max((equal[i:j].mean() for i in range(len(equal)) for j in range(i + passages.MIN_WORDS, min(len(equal), i + 130) + 1)), default=0)
             assert bool(got) == (best >= passages.SIMILARITY)
+
+
+def test_packed_seeds_meet_all_earlier_holders(monkeypatch):
+    """Matches of a hash range against brute force; a hash of more occurrences than allowed, in one block or in all, has none."""
+    monkeypatch.setattr(passages, "HOLDERS", 6)
+    monkeypatch.setattr(passages, "PAIRS", 20)
+    rng, rows, seen = np.random.default_rng(5), [], []
+    for block in range(4):
+        place = np.sort(rng.choice(3 << passages.PART, 40, replace=False))
+        start, h = place - rng.integers(0, 50, 40).clip(max=place), rng.integers(0, 25, 40)
+        start, doc, marked = np.sort(start), np.sort(rng.integers(-5, 30, 40)), rng.random(40) < 0.02
+        start = np.minimum(start, place)
+        seen += [(int(x), block, int(p), int(s), int(d), bool(m)) for x, p, s, d, m in zip(h, place, start, doc, marked)]
+        raw = passages._packed(passages._planes(h, passages.TAIL), passages._planes(np.diff(place, prepend=0), passages.PLACE),
+                               *(passages._planes(np.diff(v, prepend=0)) for v in (start, doc)), np.packbits(marked).tobytes())
+        rows.append((block + 70, 40, raw))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 2]), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "n", "seeds"]) for i in (0, 2)]
+    got = []
+    for batch in passages._meetings(batches):
+        for block, part, raw in zip(*(batch.column(c) for c in ("block", "part", "hits"))):
+            data = passages._unpacked(raw)
+            n = len(data) // (8 + 2 * passages.PLACE)
+            place, target, tpos = passages._from_planes(data[:4 * n], 4).cumsum(), passages._from_planes(data[4 * n:12 * n]), passages._from_planes(data[12 * n:], 4)
+            got += [(block.as_py(), part.as_py(), *x) for x in zip(place.tolist(), target.tolist(), tpos.tolist())]
+    want = []
+    for h in range(25):
+        own = [s for s in seen if s[0] == h]
+        if len(own) <= 6 and not any(s[5] for s in own):
+            want += [(a[1] + 70, a[3] >> passages.PART, a[2], b[4], b[2] - b[3]) for a in own for b in own if b[4] < a[4]]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_chains_that_two_bits_refuse_have_no_passage():
+    """Chains on one diagonal: what alignment reports is never refused, and chance neighbours mostly are."""
+    rng, refused, reported = np.random.default_rng(8), 0, 0
+    for _ in range(400):
+        a, b = rng.integers(0, 1 << 32, int(rng.integers(50, 200)), np.uint64).astype("<u4"), rng.integers(0, 1 << 32, int(rng.integers(50, 200)), np.uint64).astype("<u4")
+        n = int(rng.integers(8, min(len(a), len(b)) + 1))
+        x, y = int(rng.integers(0, len(a) - n + 1)), int(rng.integers(0, len(b) - n + 1))
+        b[y:y + n] = np.where(rng.random(n) < rng.choice([0, 0.1, 0.2]), b[y:y + n], a[x:x + n])
+        at = int(rng.integers(0, n - 7))
+        b[y + at:y + at + 8] = a[x + at:x + at + 8]
+        x0, y0, x1 = x + at, y + at, x + at + 8 - passages.K
+        runs = [x0, x1, y0, y0 + x1 - x0]
+        (lo, hi), (tlo, thi) = passages._around(runs, 0), passages._around(runs, 2)
+        found = passages.align(a[lo:hi], b[tlo:thi], runs, lo, tlo)
+        back, ahead = min(x0, passages.MARGIN), min(len(a) - x1 - passages.K, passages.MARGIN)
+        some = passages._near(a & 3, *(np.array([v]) for v in (x0 - back, x0, back, x1 - x0 + passages.K + ahead)), b & 3, *(np.array([v]) for v in (0, len(b), y0)))
+        assert some[0] or not found
+        refused, reported = refused + (not some[0]), reported + bool(found)
+    assert refused > 100 and reported > 50
+    codes = rng.integers(0, 4, 37)
+    assert (passages._from_codes(memoryview(passages._codes(codes)), 37) == codes).all()
