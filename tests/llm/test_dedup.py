@@ -341,7 +341,7 @@ def test_chains_that_two_bits_refuse_have_no_passage():
         (lo, hi), (tlo, thi) = passages._around(runs, 0), passages._around(runs, 2)
         found = passages.align(a[lo:hi], b[tlo:thi], runs, lo, tlo)
         back, ahead = min(x0, passages.MARGIN), min(len(a) - x1 - passages.K, passages.MARGIN)
-        some = passages._near(a & 3, *(np.array([v]) for v in (x0 - back, x0, back, x1 - x0 + passages.K + ahead)), b & 3, *(np.array([v]) for v in (0, len(b), y0)))
+        some = passages._near(a & 3, *(np.array([v]) for v in (x0 - back, back, x1 - x0 + passages.K + ahead)), b & 3, *(np.array([v]) for v in (0, len(b), y0)))
         assert some[0] or not found
         refused, reported = refused + (not some[0]), reported + bool(found)
     assert refused > 100 and reported > 50
