@@ -347,3 +347,74 @@ def test_chains_that_two_bits_refuse_have_no_passage():
     assert refused > 100 and reported > 50
     codes = rng.integers(0, 4, 37)
     assert (passages._from_codes(memoryview(passages._codes(codes)), 37) == codes).all()
+
+
+def test_passages_of_common_lines_only(docs_of):
+    """Each seed that two documents share stands in more than ``HOLDERS`` others, which hold it first: the passage is still found."""
+    rng = random.Random(17)
+    lines = [words(rng, 13) for _ in range(4)]
+    n = passages.HOLDERS + 40
+    rows = [(1000 * k + i, words(rng, 22) + line + words(rng, 23)) for k, line in enumerate(lines) for i in range(n)]
+    for doc in (9001, 9002):
+        own = []
+        for line in lines:  # one word of each changed, and one between them
+            own += line[:6] + words(rng, 1) + line[7:] + words(rng, 1)
+        rows.append((doc, words(rng, 30) + own[:-1] + words(rng, 30)))
+    out = passages.repeated_passages(docs_of([(i, " ".join(w)) for i, w in rows])).collect()
+    assert [(r["doc_id"], r["of_doc"], r["start_word"], r["end_word"], r["of_start"]) for r in out] == [(9002, 9001, 30, 85, 30)]
+    assert abs(out[0]["similarity"] - 48 / 55) < 1e-5
+
+
+def test_common_seeds_meet_in_tiles(monkeypatch):
+    """The ends of every run within planted passages leave, inserted and deleted words among them, and all that leaves are matches."""
+    from types import SimpleNamespace
+    monkeypatch.setattr(passages, "PAIRS", 3000)
+    rng = np.random.default_rng(4)
+    fresh = lambda n: rng.integers(0, 1 << 32, n, np.uint64)
+    line, base, texts = fresh(13), fresh(60), []
+    for i in range(90):
+        texts.append(np.concatenate([fresh(int(rng.integers(20, 60))), line, fresh(int(rng.integers(20, 60)))]))
+    for i in range(12):
+        own = base.copy()
+        own[rng.choice(60, 7, replace=False)] = fresh(7)
+        own = np.insert(np.delete(own, int(rng.integers(10, 50))), int(rng.integers(10, 50)), fresh(1))
+        texts.append(np.concatenate([fresh(130), own, fresh(130), line, fresh(140)]))
+    order = rng.permutation(len(texts))
+    held, first, rows = {}, {}, []
+    for doc, k in enumerate(order.tolist()):
+        text = texts[k].astype("<u4")
+        for p in range(len(text) - 3):
+            key = text[p:p + 4].tobytes()
+            held.setdefault(key, []).append((doc, p))
+            first.setdefault(key, (doc, p))
+    whole = [texts[k].astype("<u4") for k in order]
+    for block in range(3):
+        docs = np.arange(len(whole))[block::3]
+        sizes = np.array([len(whole[d]) for d in docs])
+        starts = sizes.cumsum() - sizes
+        row = np.repeat(np.arange(len(docs)), sizes - 3)
+        pos = np.concatenate([np.arange(s - 3) for s in sizes])
+        keys = [whole[docs[r]][p:p + 4].tobytes() for r, p in zip(row, pos)]
+        b = SimpleNamespace(of=np.arange(len(row)), at=(starts[row] + pos).astype(np.int32), doc=docs[row], starts=starts, sizes=sizes, row=row.astype(np.int32),
+                            words=np.concatenate([whole[d] for d in docs]))
+        target, tpos = (np.array(c) for c in zip(*(first[k] for k in keys)))
+        some = np.array([i for i, k in enumerate(keys) if len(held[k]) > 1])
+        tiles = np.where([len(held[k]) > 40 for k in keys], 3, 1)
+        rows += [(block, r, n, raw) for r, n, raw in passages._common_seeds(b, some, target, tpos, tiles, 1)]
+    got = set()
+    for r in (0, 1):
+        own = [(x[0], x[2], x[3]) for x in rows if x[1] == r]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own), (pa.int64(), pa.int32(), pa.binary()))], names=["block", "n", "seeds"])
+        for out in passages._common_meetings([batch]):
+            for block, raw in zip(out.column("block").to_pylist(), out.column("hits")):
+                data = passages._unpacked(raw)
+                n = len(data) // (8 + 2 * passages.PLACE)
+                place, target, tpos = passages._from_planes(data[:4 * n], 4).cumsum(), passages._from_planes(data[4 * n:12 * n]), passages._from_planes(data[12 * n:], 4)
+                ends = np.cumsum([len(whole[d]) for d in range(block, len(whole), 3)])
+                at = np.searchsorted(ends, place, side="right")
+                got |= {(block + 3 * int(i), int(p - (ends[i - 1] if i else 0)), int(t), int(q)) for i, p, t, q in zip(at, place, target, tpos)}
+    matches = {(d, p, e, q) for own in held.values() for d, p in own for e, q in own if e < d}
+    ends = {(d, p, e, q) for d, p, e, q in matches if (d, p - 1, e, q - 1) not in matches or (d, p + 1, e, q + 1) not in matches}
+    planted = {m for m in ends if order[m[0]] >= 90 and order[m[2]] >= 90 and m[1] < 200}
+    assert got <= matches and planted <= got and len(planted) > 300
+    assert len(got) < len(ends) / 2  # a common line alone is no passage
